@@ -9,21 +9,21 @@ from ..durable import cut, release
 from .skew import lookup
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest node it knows."""
     low = edges.groupBy("s").agg(F.count("*").alias("n"))
     seen = edges.groupBy(F.col("l").alias("s")).agg(F.min("s").alias("m"))
     # A node without a smaller neighbour is its own minimum: its edges stay and need no join.
     moved = low.join(seen, "s")
     stay = edges.join(seen.select("s"), "s", "left_anti").select("l", "s")
-    return stay.unionByName(lookup(edges, moved, "s", "n").select("l", F.col("m").alias("s")))
+    return stay.unionByName(lookup(edges, moved, "s", "n", total).select("l", F.col("m").alias("s")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them."""
     least = edges.groupBy("l").agg(F.min("s").alias("m"), F.count("*").alias("n"))
     several = least.where("n > 1")
-    rest = lookup(edges, several, "l", "n").where("s <> m").select(F.col("s").alias("l"), F.col("m").alias("s"))
+    rest = lookup(edges, several, "l", "n", total).where("s <> m").select(F.col("s").alias("l"), F.col("m").alias("s"))
     return least.select("l", F.col("m").alias("s")).unionByName(rest)
 
 
@@ -45,8 +45,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        half = cut(_large_star(current).distinct(), "large-star")
-        after = cut(_small_star(half).distinct(), "small-star")
+        half = cut(_large_star(current, mark[0]).distinct(), "large-star")
+        after = cut(_small_star(half, mark[0]).distinct(), "small-star")
         release(half)
         release(current)
         before, mark, current = mark, _mark(after), after

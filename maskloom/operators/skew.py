@@ -58,14 +58,15 @@ def stale_counts(owners: DataFrame, owner_key: str, claimed: str, rows: DataFram
     return joined.select("owner", "claimed", true).where(~F.col("claimed").eqNullSafe(F.col("n_distinct")))
 
 
-def lookup(rows: DataFrame, by: DataFrame, on: str, weight: str, share: float = 0.001) -> DataFrame:
+def lookup(rows: DataFrame, by: DataFrame, on: str, weight: str, total: int | None = None, share: float = 0.001) -> DataFrame:
     """``rows`` inner joined with the unique-keyed ``by``, without a hot task when a few keys hold most rows.
 
     ``by`` has the number of rows of each key in ``weight``. Keys above ``share`` of all rows number at
     most 1 / ``share``, so that side is broadcast within a proven bound; the rest is an ordinary join on
-    keys none of which is hot.
+    keys none of which is hot. ``total`` is the number of ``rows``, if the caller knows it.
     """
-    total = by.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = by.agg(F.sum(weight)).first()[0] or 0
     heavy = F.col(weight) > max(1, total * share)
     hot = F.broadcast(by.where(heavy).drop(weight))
     cold = by.where(~heavy).drop(weight)
