@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import splits
+from . import neardup, splits
 
 
 def _tables(spark, folder, *names):
@@ -24,5 +24,19 @@ def p5_splits(spark, folder):
     return splits.assign_splits(_groups(spark, folder), table(spark, folder, "split_targets"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits}
+def p6_found(spark, folder):
+    return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "texts")))
+
+
+def p6_classes(spark, folder):
+    texts = table(spark, folder, "texts")
+    return neardup.per_text(texts, *neardup.near_duplicates(texts))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
+    "p6_found": p6_found,
+    "p6_classes": p6_classes,
+}
 SQL: dict[str, str] = {}
