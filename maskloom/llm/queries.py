@@ -3,13 +3,28 @@
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import neardup, splits
+from . import neardup, overlap, splits
 
 
 def _tables(spark, folder, *names):
     return [table(spark, folder, n) for n in names]
 
 
+def _overlaps(spark, folder):
+    return overlap.overlaps(*_tables(spark, folder, "texts", "datasets", "mentions"))
+
+
+def p4_found(spark, folder):
+    pairs = overlap.all_pairs(*_overlaps(spark, folder))
+    return pairs.select(
+        F.least("train_id", "eval_id").alias("text_id_a"), F.greatest("train_id", "eval_id").alias("text_id_b")
+    )
+
+
+def p4_report(spark, folder):
+    return overlap.report(*_tables(spark, folder, "texts", "datasets"), *_overlaps(spark, folder))
+
+
 def _groups(spark, folder):
     return splits.tied_groups(*_tables(spark, folder, "texts", "mentions", "entities"))
 
@@ -34,6 +49,8 @@ def p6_classes(spark, folder):
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p6_found": p6_found,
