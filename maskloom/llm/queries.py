@@ -3,13 +3,32 @@
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import neardup, overlap, splits
+from . import consensus, neardup, overlap, packing, splits
 
 
 def _tables(spark, folder, *names):
     return [table(spark, folder, n) for n in names]
 
 
+def _truth(spark, folder):
+    judged, directed = _tables(spark, folder, "judgments", "directional_judgments")
+    return judged, *consensus.truth_discovery(judged, directed)
+
+
+def p3_found(spark, folder):
+    judged, posterior, _ = _truth(spark, folder)
+    return consensus.consensus(judged, posterior).select("pair_id", "label")
+
+
+def p3_annotators(spark, folder):
+    _, posterior, votes = _truth(spark, folder)
+    return consensus.annotators(votes, posterior)
+
+
+def p3_agreement(spark, folder):
+    return consensus.agreement(*_tables(spark, folder, "judgments", "directional_judgments"))
+
+
 def _overlaps(spark, folder):
     return overlap.overlaps(*_tables(spark, folder, "texts", "datasets", "mentions"))
 
@@ -48,12 +67,25 @@ def p6_classes(spark, folder):
     return neardup.per_text(texts, *neardup.near_duplicates(texts))
 
 
+def p7_packing(spark, folder):
+    return packing.pack_all(*_tables(spark, folder, "documents", "containers"))
+
+
+def p7_use_of_space(spark, folder):
+    return packing.use_of_space(p7_packing(spark, folder), table(spark, folder, "containers"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_annotators": p3_annotators,
+    "p3_agreement": p3_agreement,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p7_packing": p7_packing,
+    "p7_use_of_space": p7_use_of_space,
 }
 SQL: dict[str, str] = {}
