@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import consensus, neardup, overlap, packing, splits
+from . import consensus, leakage, neardup, overlap, packing, splits
 
 
 def _tables(spark, folder, *names):
@@ -75,6 +75,17 @@ def p7_use_of_space(spark, folder):
     return packing.use_of_space(p7_packing(spark, folder), table(spark, folder, "containers"))
 
 
+def p8_found(spark, folder):
+    return leakage.leaks(*_tables(spark, folder, "documents", "eval_items")).select("doc_id", "item_id")
+
+
+def p8_report(spark, folder):
+    documents, items = _tables(spark, folder, "documents", "eval_items")
+    found = leakage.leaks(documents, items)
+    per = found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("score"), 3).alias("best_score"))
+    return items.select("item_id", "suite", "eval_split").join(per, "item_id", "left").na.fill(0, ["n_documents"])
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_annotators": p3_annotators,
@@ -87,5 +98,7 @@ QUERIES = {
     "p6_classes": p6_classes,
     "p7_packing": p7_packing,
     "p7_use_of_space": p7_use_of_space,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 SQL: dict[str, str] = {}
