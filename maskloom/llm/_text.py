@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(_WORD), F.lit(0))
 
 
+_SPLIT = re.compile(r"[^\W_]+")
+_FOLD = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE))
+
+
+def words_of(text: str) -> list[str]:
+    """``words`` for Python code that needs the words themselves."""
+    return _SPLIT.findall(text.lower().translate(_FOLD))
+
+
+class Codes(dict):
+    """Word to 64-bit hash, the same in every process; holds at most ``limit`` words at a time."""
+
+    limit = 1_000_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 

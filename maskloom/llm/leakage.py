@@ -7,37 +7,37 @@ documents are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, words
+from ._text import Codes, mix, words_of
 
 SEED = 4  # words
 RARE_SHARE, RARE_LEAST = 0.002, 20
 SHARED_SHARE, SHARED_LEAST, SHARED_RUN = 0.02, 3, 6
+STOCK_RUN = 8  # seeds in a row
 BLOCK = 5000  # passages
-SCORE = 26.0  # of the alignment; a word that agrees counts 2
-MATCH, ALIKE, MISMATCH, GAP, SLACK = 2.0, 1.5, -1.0, 1.0, 12
+SCORE = 23.0  # of the alignment; a word that agrees counts 2
+MATCH, MISMATCH, GAP, SLACK = 2.0, -1.0, 1.0, 12
+ALIKE, STOCK = 0.75, 0.5  # of a match: a word one edit apart, a word of a stock phrase
 
 
-def plain(text: Column) -> Column:
-    """Text without markup and without the hyphens that break words at line ends."""
-    joined = F.regexp_replace(text, r"(\p{L})[-‐]\s*\n\s*(\p{L})", "$1$2")
-    return F.regexp_replace(joined, r"<[^<>\n]{0,60}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});", " ")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010]\s*\n\s*(?=[^\W\d_])")
+_MARKUP = re.compile(r"<[^<>\n]{0,60}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
 
 
-def _worded(rows: DataFrame, id: str, text: str) -> DataFrame:
-    w = rows.select(F.col(id).cast("long").alias("id"), words(plain(F.col(text))).alias("w")).where("id IS NOT NULL AND size(w) > 0")
-    return w.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"), F.array_join("w", " ").alias("said"))
+def plain_words(text: str | None) -> list[str]:
+    """Words of a text without markup and without the hyphens that break words at line ends."""
+    return words_of(_MARKUP.sub(" ", _HYPHEN.sub("", text))) if text else []
 
 
-def grams(hashes: np.ndarray, k: int = SEED) -> np.ndarray:
+def grams(h: np.ndarray, k: int = SEED) -> np.ndarray:
     """The hash of ``k`` words in a row, at each place."""
-    h = hashes.astype(np.uint64)
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -51,13 +51,15 @@ def grams(hashes: np.ndarray, k: int = SEED) -> np.ndarray:
 class Passages:
     """A block of passages and its seeds."""
 
-    def __init__(self, ids, hashes, said, shared: np.ndarray):
+    def __init__(self, ids, texts, shared: np.ndarray):
         self.ids = np.asarray(ids, np.int64)
-        self.words = [s.split(" ") for s in said]
+        self.words = [plain_words(t) for t in texts]
+        codes = Codes()
         seeds, item, place = [], [], []
         self.blank = []
-        for i, h in enumerate(hashes):
-            g = grams(np.asarray(h, np.int64))
+        for i, said in enumerate(self.words):
+            h = codes.of(said)
+            g = grams(h)
             common = np.isin(g, shared)
             # An instruction line is a long run of seeds that many passages share.
             blank = np.zeros(len(h), bool)
@@ -77,6 +79,25 @@ class Passages:
         self.seeds, self.start = np.unique(seeds[order], return_index=True)
         self.end = np.append(self.start[1:], len(order))
 
+    def worth(self, scarce: np.ndarray) -> list[np.ndarray]:
+        """What each word of each passage earns: nothing in instruction lines, little in stock phrases.
+
+        A stock phrase is a short run of common seeds. A long one is a passage that many documents hold.
+        """
+        common = [np.zeros(len(w), bool) for w in self.words]
+        for k in np.flatnonzero(~scarce):
+            for e in range(self.start[k], self.end[k]):
+                common[self.item[e]][self.place[e]] = True
+        out = []
+        for flags, blank in zip(common, self.blank):
+            value = np.where(blank, 0.0, MATCH)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+            for s, e in zip(edges[::2], edges[1::2]):
+                if e - s <= STOCK_RUN:
+                    value[s : e + SEED - 1] = np.minimum(value[s : e + SEED - 1], MATCH * STOCK)
+            out.append(value)
+        return out
+
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of a document where a seed begins, and which seed."""
         g = grams(hashes)
@@ -98,26 +119,48 @@ def alike(a: str, b: str) -> bool:
     return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-def align(item: list[str], blank: np.ndarray, doc: list[str]) -> float:
-    """Best local alignment score of a passage and a stretch of a document.
+def _shortened(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))} | {word}
 
-    Words that agree count MATCH, words one edit apart ALIKE, blanked words nothing.
-    """
-    number = {w: n for n, w in enumerate(dict.fromkeys(item))}
-    long = [(w, n) for w, n in number.items() if len(w) > 3]
-    codes, worth, seen = np.empty(len(doc), np.int64), np.full(len(doc), MATCH), {}
+
+class Spellings:
+    """Words of a passage by their shortened forms, to find the one that a miswritten word stands for."""
+
+    def __init__(self, item: list[str]):
+        self.number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+        self.forms: dict[str, list[str]] = {}
+        for w in self.number:
+            if len(w) > 3:
+                for form in _shortened(w):
+                    self.forms.setdefault(form, []).append(w)
+        self.seen: dict[str, int] = {}
+
+    def near(self, word: str) -> int:
+        """Number of a word of the passage one edit away, or -1."""
+        if word not in self.seen:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            forms = _shortened(word) if len(word) > 3 else ()
+            met = [self.number[x] for form in forms for x in self.forms.get(form, ()) if alike(word, x)]
+            self.seen[word] = min(met, default=-1)
+        return self.seen[word]
+
+
+def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellings | None = None) -> float:
+    """Best local alignment score of a passage, whose words have a ``value`` each, and a stretch of a document."""
+    spellings = spellings or Spellings(item)
+    number = spellings.number
+    codes, degree = np.empty(len(doc), np.int64), np.ones(len(doc))
     for j, w in enumerate(doc):
         if w in number:
             codes[j] = number[w]
-            continue
-        if w not in seen:
-            seen[w] = next((n for x, n in long if len(w) > 3 and alike(w, x)), -1)
-        codes[j], worth[j] = seen[w], ALIKE
+        else:
+            codes[j], degree[j] = spellings.near(w), ALIKE
     best, h = 0.0, np.zeros(len(doc) + 1)
     slope = GAP * np.arange(len(doc) + 1)
     for i, w in enumerate(item):
         hit = codes == number[w]
-        diagonal = h[:-1] + np.where(hit, 0.0 if blank[i] else worth, MISMATCH)
+        diagonal = h[:-1] + np.where(hit, value[i] * degree, MISMATCH)
         top = np.maximum(h - GAP, 0.0)
         top[1:] = np.maximum(top[1:], diagonal)
         h = np.maximum.accumulate(top + slope) - slope
@@ -138,28 +181,29 @@ def candidates(block: Passages, rare: np.ndarray, at: np.ndarray, seed: np.ndarr
     which = np.repeat(seed, n)
     order = np.lexsort((diagonal, items))
     items, diagonal, scarce, which = items[order], diagonal[order], scarce[order], which[order]
-    cuts = np.flatnonzero(np.diff(items)) + 1
-    for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(items)]])):
-        if e - s < 3:
-            continue
-        d = diagonal[s:e]
-        band = np.searchsorted(d, d + SLACK, side="right") - np.arange(e - s)
-        first = int(band.argmax())
-        inside = slice(s + first, s + first + int(band[first]))
-        n_rare = len(np.unique(which[s:e][scarce[s:e]]))
-        in_row = len(np.unique(which[inside]))
-        if n_rare >= 3 or (n_rare >= 2 and in_row >= 4) or in_row >= 8:
-            size = len(block.words[items[s]])
-            yield int(items[s]), int(d[first]) - SLACK, int(d[first]) + 2 * SLACK + size
+    key = items * (1 << 40) + diagonal
+    band = np.searchsorted(key, key + SLACK, side="right") - np.arange(len(key))
+    first = np.concatenate([[0], np.flatnonzero(np.diff(items)) + 1])
+    last = np.append(first[1:], len(items))
+    n_rare, in_row = np.add.reduceat(scarce.astype(np.int64), first), np.maximum.reduceat(band, first)
+    for k in np.flatnonzero((n_rare >= 3) | ((n_rare >= 2) & (in_row >= 4)) | (in_row >= 8)):
+        s, e = first[k], last[k]
+        best = s + int(band[s:e].argmax())
+        different = len(np.unique(which[best : best + band[best]]))
+        rare_ones = len(np.unique(which[s:e][scarce[s:e]]))
+        if rare_ones >= 3 or (rare_ones >= 2 and different >= 4) or different >= 8:
+            item, at_diagonal = int(items[s]), int(diagonal[best])
+            yield item, at_diagonal - SLACK, at_diagonal + 2 * SLACK + len(block.words[item])
 
 
 def _seed_counts(block):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages = block.value
         total = np.zeros(len(passages.seeds), np.int64)
+        codes = Codes()
         for batch in batches:
-            for h in batch["hashes"]:
-                total[np.unique(passages.hits(np.asarray(h, np.int64))[1])] += 1
+            for text in batch["text"]:
+                total[np.unique(passages.hits(codes.of(plain_words(text)))[1])] += 1
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"seed": seen, "n": total[seen]})
 
@@ -169,16 +213,21 @@ def _seed_counts(block):
 def _search(block, rare, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages, scarce = block.value, rare.value
+        value = passages.worth(scarce)
+        codes, spellings = Codes(), {}
         for batch in batches:
             out = []
-            for id, h, said in zip(batch["id"], batch["hashes"], batch["said"]):
-                at, seed = passages.hits(np.asarray(h, np.int64))
+            for id, text in zip(batch["id"], batch["text"]):
+                doc = plain_words(text)
+                at, seed = passages.hits(codes.of(doc))
                 if len(at) < 3:
                     continue
-                doc = None
                 for item, low, high in candidates(passages, scarce, at, seed):
-                    doc = said.split(" ") if doc is None else doc
-                    score = align(passages.words[item], passages.blank[item], doc[max(0, low) : max(0, high)])
+                    if item not in spellings:
+                        if len(spellings) >= 1000:
+                            spellings.clear()
+                        spellings[item] = Spellings(passages.words[item])
+                    score = align(passages.words[item], value[item], doc[max(0, low) : max(0, high)], spellings[item])
                     if score >= least:
                         out.append((id, passages.ids[item], score))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score"])
@@ -196,14 +245,16 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = SCORE, block: i
     """
     spark = documents.sparkSession
     schema = "doc_id long, item_id long, score double"
-    asked = _worded(items, "item_id", "passage")
-    docs = _worded(documents, "doc_id", "text")
+    asked = items.select(F.col("item_id").cast("long").alias("id"), F.col("passage").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
     n_items = asked.count()
     n_docs = docs.count()
 
     def own_grams(batches):
+        codes = Codes()
         for batch in batches:
-            yield pd.DataFrame({"g": np.concatenate([np.unique(grams(np.asarray(h, np.int64))).view(np.int64) for h in batch["hashes"]] or [np.empty(0, np.int64)])})
+            found = [np.unique(grams(codes.of(plain_words(t)))).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"g": np.concatenate(found or [np.empty(0, np.int64)])})
 
     often = asked.mapInPandas(own_grams, "g long").groupBy("g").count().where(F.col("count") >= max(SHARED_LEAST, SHARED_SHARE * n_items))
     shared = np.array([r["g"] for r in often.collect()], np.int64).view(np.uint64)  # at most 1 / SHARED_SHARE times a passage's length
@@ -212,8 +263,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = SCORE, block: i
     for b in range(n_blocks):
         mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
         rows = mine.collect()
-        passages = spark.sparkContext.broadcast(Passages([r["id"] for r in rows], [r["hashes"] for r in rows], [r["said"] for r in rows], shared))
-        counts = docs.select("hashes").mapInPandas(_seed_counts(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        passages = spark.sparkContext.broadcast(Passages([r["id"] for r in rows], [r["text"] for r in rows], shared))
+        counts = docs.select("text").mapInPandas(_seed_counts(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         scarce = np.ones(len(passages.value.seeds), bool)
         for r in counts.where(F.col("n") > max(RARE_LEAST, RARE_SHARE * n_docs)).collect():
             scarce[r["seed"]] = False
