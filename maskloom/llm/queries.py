@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import consensus, leakage, neardup, overlap, packing, splits
+from . import subjects as areas
 
 
 def _tables(spark, folder, *names):
@@ -86,6 +87,18 @@ def p8_report(spark, folder):
     return items.select("item_id", "suite", "eval_split").join(per, "item_id", "left").na.fill(0, ["n_documents"])
 
 
+def _areas(spark, folder):
+    return areas.subject_areas(*_tables(spark, folder, "documents", "subjects", "subject_labels"))
+
+
+def p9_found(spark, folder):
+    return _areas(spark, folder).select("doc_id", "subject")
+
+
+def p9_composition(spark, folder):
+    return areas.composition(_areas(spark, folder), table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_annotators": p3_annotators,
@@ -100,5 +113,7 @@ QUERIES = {
     "p7_use_of_space": p7_use_of_space,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 SQL: dict[str, str] = {}
