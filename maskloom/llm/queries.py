@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import consensus, leakage, neardup, overlap, packing, splits
+from . import consensus, leakage, names, neardup, overlap, packing, splits
 from . import subjects as areas
 
 
@@ -11,6 +11,14 @@ def _tables(spark, folder, *names):
     return [table(spark, folder, n) for n in names]
 
 
+def p2_found(spark, folder):
+    return names.pairs(names.parties(*_tables(spark, folder, "entities", "good_candidates")))
+
+
+def p2_parties(spark, folder):
+    return names.parties(*_tables(spark, folder, "entities", "good_candidates"))
+
+
 def _truth(spark, folder):
     judged, directed = _tables(spark, folder, "judgments", "directional_judgments")
     return judged, *consensus.truth_discovery(judged, directed)
@@ -100,6 +108,8 @@ def p9_composition(spark, folder):
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_parties": p2_parties,
     "p3_found": p3_found,
     "p3_annotators": p3_annotators,
     "p3_agreement": p3_agreement,
