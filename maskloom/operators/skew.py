@@ -73,6 +73,11 @@ def lookup(rows: DataFrame, by: DataFrame, on: str, weight: str, total: int | No
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
 
 
+def join_by_size(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
+    """A join that broadcasts ``small`` only after counting it: up to ``limit`` narrow rows, else both sides are shuffled."""
+    return rows.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
+
+
 def salted(column: Column, parts: int) -> Column:
     """A stable salt 0..parts-1 for a column."""
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
