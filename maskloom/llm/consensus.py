@@ -1,14 +1,17 @@
 """Consensus of several annotators by confidence-aware truth discovery.
 
-Labels and reliabilities are found in turn. A label is the one with the largest weighted vote; a weight
-comes from the upper end of the chi-squared confidence interval of the error variance, so a contributor
-with few votes is trusted less than one with the same errors over many. Errors are kept apart by what was
-voted, where, and with which confidence: someone who calls everything preserved says little by that and
-much by the rare other vote, and a vote given with low confidence is judged as such.
+Labels and reliabilities are found in turn. A pair gets the label at the least weighted distance from its
+votes. The weight of a vote is the log of how much likelier the contributor casts it on pairs that have
+the label than on others, where the latter, the error, is taken at the upper end of its chi-squared
+confidence interval: a contributor with few votes is trusted less than one with the same errors over many.
+Weights are kept apart by label, table and stated confidence: someone who calls everything preserved says
+little by that and much by the rare other vote, and a vote of low confidence is judged as such.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from ..operators.skew import lookup
 
 LABELS = ("preserved", "changed", "uncertain")
 Z = -1.959964  # standard normal quantile of alpha / 2 for alpha = 0.05
-FLOOR = 0.02
+CEILING = 0.98
 
 
 def clean_label(raw: Column) -> Column:
@@ -31,7 +34,7 @@ def clean_label(raw: Column) -> Column:
 
 
 def votes_of(judgments: DataFrame, directional: DataFrame) -> DataFrame:
-    """``pair_id, annotator, facet, label, n``: votes of both tables, resent rows counted once.
+    """``pair_id, annotator, source, label, n``: votes of both tables, resent rows counted once.
 
     Rows with a null pair, annotator or id of the row, or without a vote, have none. A directional row without
     preserves_meaning votes by its two directions: entailment both ways preserves, uncertain stays uncertain,
@@ -51,56 +54,64 @@ def votes_of(judgments: DataFrame, directional: DataFrame) -> DataFrame:
         F.coalesce(clean_label(F.col("preserves_meaning")), shown).alias("label"), F.concat(F.lit("directions-"), sure).alias("how"),
     )
     rows = plain.distinct().unionByName(directed.distinct()).na.drop()
-    facet = F.concat_ws("|", "annotator", "how", "label")
-    return rows.groupBy("pair_id", "annotator", "how", "label").agg(F.count("*").alias("n")).withColumn("facet", facet)
+    source = F.concat_ws("|", "annotator", "how")
+    return rows.groupBy("pair_id", "annotator", "how", "label").agg(F.count("*").alias("n")).withColumn("source", source)
 
 
-def _upper_error(errors: Column, n: Column) -> Column:
-    """Sum of squared errors over the lower chi-squared quantile (Wilson and Hilferty's approximation)."""
+def _upper_rate(errors: Column, n: Column) -> Column:
+    """Errors over the lower chi-squared quantile of n (Wilson and Hilferty's approximation)."""
     quantile = n * F.pow(1 - 2 / (9 * n) + Z * F.sqrt(2 / (9 * n)), 3)
-    return F.least(F.lit(1 - FLOOR), F.greatest(F.lit(FLOOR), errors / F.greatest(quantile, F.lit(1e-3))))
+    return F.least(F.lit(CEILING), errors / F.greatest(quantile, F.lit(1e-3)))
 
 
-def _weights(errors: DataFrame) -> DataFrame:
-    """``facet, w, n``: the weight of a vote is the log-odds that it is right, by the upper bound of its error."""
-    bound = _upper_error(F.col("err"), F.col("n"))
-    right = (1 - bound) * (len(LABELS) - 1) / bound
-    return errors.select("facet", F.greatest(F.lit(0.0), F.log(right)).alias("w"), "n")
+def _weights(votes: DataFrame, posterior: DataFrame) -> DataFrame:
+    """``source, n`` and the weight of a vote for each label."""
+    joined = votes.join(posterior, "pair_id")
+    sums = [F.sum("n").cast("double").alias("n")]
+    for x in LABELS:
+        cast = F.when(F.col("label") == x, F.col("n")).otherwise(0)
+        sums += [F.sum(F.col("n") * F.col(x)).alias(f"of_{x}"), F.sum(cast * F.col(x)).alias(f"hit_{x}"), F.sum(cast * (1 - F.col(x))).alias(f"err_{x}")]
+    rates = joined.groupBy("source").agg(*sums)
+    out = []
+    for x in LABELS:
+        hit = (F.col(f"hit_{x}") + 0.5) / (F.col(f"of_{x}") + 1.5)
+        wrong = _upper_rate(F.col(f"err_{x}") + 0.5, F.col("n") - F.col(f"of_{x}") + 1.5)
+        out.append(F.greatest(F.lit(0.0), F.log(hit / wrong)).alias(f"w_{x}"))
+    return rates.select("source", "n", *out)
 
 
-def _posterior(votes: DataFrame, weights: DataFrame, total: int) -> DataFrame:
-    """``pair_id`` and one probability per label."""
-    weighted = lookup(votes.select("pair_id", "facet", "label", F.col("n").alias("k")), weights, "facet", "n", total)
-    sums = [F.sum(F.when(F.col("label") == x, F.col("w") * F.col("k")).otherwise(0.0)).alias(x) for x in LABELS]
-    scored = weighted.groupBy("pair_id").agg(*sums)
-    top = F.greatest(*LABELS)
-    odds = scored.select("pair_id", *[F.exp(F.col(x) - top).alias(x) for x in LABELS])
-    whole = sum(F.col(x) for x in LABELS)
-    return odds.select("pair_id", *[(F.col(x) / whole).alias(x) for x in LABELS])
+def _normalized(sums: DataFrame, of: list[Column]) -> DataFrame:
+    whole = sum(of[1:], of[0])
+    return sums.select("pair_id", *[(c / whole).alias(x) for x, c in zip(LABELS, of)])
 
 
-def _errors(votes: DataFrame, posterior: DataFrame, by: list[str]) -> DataFrame:
-    """Expected errors and votes per group of ``by``."""
-    chance = F.when(F.col("label") == LABELS[0], F.col(LABELS[0])).when(F.col("label") == LABELS[1], F.col(LABELS[1])).otherwise(F.col(LABELS[2]))
-    joined = votes.join(posterior, "pair_id")
-    return joined.groupBy(*by).agg(F.sum(F.col("n") * (1 - chance)).alias("err"), F.sum("n").cast("double").alias("n"))
+def _posterior(votes: DataFrame, weights: DataFrame, prior: dict[str, float], total: int) -> DataFrame:
+    """``pair_id`` and one probability per label."""
+    weighted = lookup(votes.select("pair_id", "source", "label", F.col("n").alias("k")), weights, "source", "n", total)
+    sums = [F.sum(F.when(F.col("label") == x, F.col(f"w_{x}") * F.col("k")).otherwise(0.0)).alias(x) for x in LABELS]
+    scored = weighted.groupBy("pair_id").agg(*sums).select("pair_id", *[(F.col(x) + prior[x]).alias(x) for x in LABELS])
+    top = F.greatest(*LABELS)
+    return _normalized(scored, [F.exp(F.col(x) - top) for x in LABELS])
 
 
-def truth_discovery(judgments: DataFrame, directional: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def truth_discovery(judgments: DataFrame, directional: DataFrame, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """Posterior ``pair_id, preserved, changed, uncertain`` and the votes it rests on.
 
-    The first round weighs every vote alike. Nulls in any column, resent and late rows: see ``votes_of``;
+    It starts from the shares of the votes. Nulls in any column, resent and late rows: see ``votes_of``;
     pairs without a vote are absent here; empty tables give empty results.
     """
     votes = cut(votes_of(judgments, directional), "votes")
     total = votes.count()
-    weights = votes.groupBy("facet").agg(F.sum("n").cast("double").alias("n")).select("facet", F.lit(1.0).alias("w"), "n")
+    shares = [F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(x) for x in LABELS]
+    posterior = cut(_normalized(votes.groupBy("pair_id").agg(*shares), [F.col(x) + 0.1 for x in LABELS]), "posterior")
     for _ in range(rounds):
-        posterior = cut(_posterior(votes, weights, total), "posterior")
-        errors = cut(_errors(votes, posterior, ["facet"]), "errors")
-        weights = _weights(errors)
+        row = posterior.agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in LABELS]).first()
+        prior = {x: math.log(((row[x] or 0.0) + 1) / (row["n"] + len(LABELS))) for x in LABELS}
+        weights = cut(_weights(votes, posterior), "weights")
+        after = cut(_posterior(votes, weights, prior, total), "posterior")
         release(posterior)
-    return cut(_posterior(votes, weights, total), "posterior"), votes
+        posterior = after
+    return posterior, votes
 
 
 def consensus(judgments: DataFrame, posterior: DataFrame) -> DataFrame:
@@ -115,11 +126,13 @@ def consensus(judgments: DataFrame, posterior: DataFrame) -> DataFrame:
 
 def annotators(votes: DataFrame, posterior: DataFrame) -> DataFrame:
     """``annotator_id, n_votes, reliability, reliability_lower``: share of right votes, and its lower bound."""
-    found = _errors(votes, posterior, ["annotator"])
+    chance = F.when(F.col("label") == LABELS[0], F.col(LABELS[0])).when(F.col("label") == LABELS[1], F.col(LABELS[1])).otherwise(F.col(LABELS[2]))
+    joined = votes.join(posterior, "pair_id")
+    found = joined.groupBy("annotator").agg(F.sum(F.col("n") * (1 - chance)).alias("err"), F.sum("n").cast("double").alias("n"))
     return found.select(
         F.col("annotator").alias("annotator_id"), F.col("n").cast("long").alias("n_votes"),
         F.round(1 - F.col("err") / F.col("n"), 6).alias("reliability"),
-        F.round(1 - _upper_error(F.col("err"), F.col("n")), 6).alias("reliability_lower"),
+        F.round(1 - _upper_rate(F.col("err"), F.col("n")), 6).alias("reliability_lower"),
     )
 
 
