@@ -101,6 +101,9 @@ def manifest(df: DataFrame, fields: list[str]) -> DataFrame:
     """One JSON value: rows, and the counts of every value of the fields."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("value")) for c in fields]))
     counts = df.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
-    maps = counts.groupBy("field").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n")))).alias("m"))
-    one = maps.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "m")))).alias("fields"), F.max(F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, b: a + b)).alias("rows"))
-    return one.select(F.to_json(F.struct("rows", "fields")).alias("manifest"))
+    maps = counts.groupBy("field").agg(
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n"))))).alias("json"), F.sum("n").alias("rows")
+    )
+    one = maps.agg(F.sort_array(F.collect_list(F.struct("field", "json"))).alias("fields"), F.max("rows").alias("rows"))
+    inner = F.array_join(F.transform("fields", lambda x: F.concat(F.lit('"'), x["field"], F.lit('":'), x["json"])), ",")
+    return one.select(F.concat(F.lit('{"rows":'), F.coalesce("rows", F.lit(0)).cast("string"), F.lit(',"fields":{'), inner, F.lit("}}")).alias("manifest"))
