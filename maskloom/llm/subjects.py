@@ -155,13 +155,15 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
         .agg(F.min("subject").alias("subject"), F.max("subject").alias("other")).where("subject = other")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id", "subject")
     )
-    rules = mine(docs.join(one, "doc_id").select("doc_id", "subject", "text"), areas)
+    rules = mine(docs.join(F.broadcast(one), "doc_id").select("doc_id", "subject", "text"), areas)
     schema = "doc_id long, subject string, whole double, among double"
     for _ in range(rounds - 1):
         known = spark.sparkContext.broadcast(rules)
-        chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SURE)
+        # Ids are chosen without their texts; no task ever holds more than its share of those.
+        ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SURE)
+        chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")
         sure = chosen.mapInPandas(_score(known, 0.15, 0.9), schema)
-        rules = mine(chosen.join(sure.select("doc_id", "subject"), "doc_id").select("doc_id", "subject", "text"), areas)
+        rules = mine(chosen.join(F.broadcast(sure.select("doc_id", "subject")), "doc_id").select("doc_id", "subject", "text"), areas)
     return docs.mapInPandas(_score(spark.sparkContext.broadcast(rules), WHOLE, AMONG), schema)
 
 
