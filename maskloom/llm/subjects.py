@@ -24,6 +24,7 @@ from ._text import words_of
 LABELLED = 20_000  # documents with labels to learn from, at most
 SURE = 30_000  # documents of the second round, at most
 VOCABULARY, RULES = 50_000, 50_000
+ITEMS = 8  # words of a sentence, the most telling ones, that patterns are made of
 SUPPORT = 3  # documents with a word, sentences with a rule
 LIKELY = 0.5  # least share of a word's documents, or a rule's sentences, in its area
 SURE_RULE = 0.55  # least smoothed share: a rule that happened to be met in one area only a few times is no rule
@@ -92,14 +93,16 @@ def mine(labelled: DataFrame, areas: list[str]) -> Rules:
     rate = rate.withColumn("r", F.col("n") / size[F.col("subject")])
     told = rate.groupBy("w").agg(F.sum("n").alias("n"), (F.max("r") / F.sum("r")).alias("top"))
     told = told.where((F.col("n") >= SUPPORT) & (F.col("top") >= LIKELY)).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    vocabulary = frozenset(r["w"] for r in told.select("w").collect())
+    vocabulary = {r["w"]: (-r["top"], -r["n"], r["w"]) for r in told.collect()}
 
     def items(batches):
         for batch in batches:
-            kept = [[w for w in bag if w in vocabulary] for bag in batch["bag"]]
+            kept = [sorted((w for w in bag if w in vocabulary), key=vocabulary.__getitem__)[:ITEMS] for bag in batch["bag"]]
             yield pd.DataFrame({"items": [k + [_CLASS + s] for k, s in zip(kept, batch["subject"]) if k]})
 
-    transactions = cut(bags.mapInPandas(items, "items array<string>"), "transactions")
+    # The same sentence in several copies is one observation.
+    once = bags.select("subject", "bag").distinct()
+    transactions = cut(once.mapInPandas(items, "items array<string>"), "transactions")
     n = transactions.count()
     if not n:
         return Rules(areas, [])
