@@ -106,3 +106,39 @@ def surface_variants(x: Column) -> Column:
         F.when(x.contains(",") & ~x.contains("."), F.regexp_replace(x, ",", "")),
     ]
     return F.array_distinct(F.filter(F.array_compact(F.array(*tried)), lambda v: v != x))
+
+
+def _around(x: Column, needle: Column) -> tuple[Column, Column, Column]:
+    """The text before, at and after the first case-insensitive occurrence; the middle is null without one."""
+    at = F.position(F.lower(needle), F.lower(x))
+    found = F.when((at > 0) & (F.length(needle) > 0), F.substring(x, at, F.length(needle)))
+    return F.substring(x, F.lit(1), at - 1), found, F.substring(x, at + F.length(needle), F.length(x))
+
+
+def replace_first(x: Column, needle: Column, value: Column) -> Column:
+    """The first occurrence replaced, case-insensitively; the text itself without one."""
+    before, found, after = _around(x, needle)
+    return F.when(found.isNotNull(), F.concat(before, value, after)).otherwise(x)
+
+
+def mark_first(x: Column, needle: Column) -> Column:
+    """The first occurrence in brackets."""
+    before, found, after = _around(x, needle)
+    return F.when(found.isNotNull(), F.concat(before, F.lit("["), found, F.lit("]"), after)).otherwise(x)
+
+
+def replace_nth(x: Column, needle: Column, n: Column, value: Column) -> Column:
+    """The n-th exact occurrence (from 0) replaced; null if there are fewer."""
+    parts = F.split(x, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i == n, value).when(i < F.size(parts) - 1, needle).otherwise(""))), "")
+    return F.when((n >= 0) & (n < F.size(parts) - 1), joined)
+
+
+def differing_span(a: Column, b: Column) -> Column:
+    """Struct ``left, right``: what remains of two texts without their common prefix and suffix."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.sequence(F.lit(0), n)
+    prefix = F.array_max(F.filter(same, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
+    ra, rb = F.reverse(a), F.reverse(b)
+    suffix = F.array_max(F.filter(same, lambda k: (k <= n - prefix) & (F.substring(ra, F.lit(1), k) == F.substring(rb, F.lit(1), k))))
+    return F.struct(F.substring(a, prefix + 1, F.length(a) - prefix - suffix).alias("left"), F.substring(b, prefix + 1, F.length(b) - prefix - suffix).alias("right"))
