@@ -126,4 +126,25 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
-SQL: dict[str, str] = {}
+_WORD = "regexp_replace(lower({x}), '[^a-z]', '', 'g')"
+_VOTE = "CASE WHEN starts_with(w, 'preserv') THEN 'preserved' WHEN starts_with(w, 'change') THEN 'changed' WHEN starts_with(w, 'uncertain') OR starts_with(w, 'unsure') THEN 'uncertain' END"
+
+# Only what SQL can say over whole tables; the others are tested against brute force in tests/llm.
+SQL: dict[str, str] = {
+    "p3_agreement": f"""
+        WITH j AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, {_VOTE} AS l FROM (SELECT *, {_WORD.format(x="label")} AS w FROM judgments)),
+        d AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, confidence, coalesce({_VOTE}, CASE WHEN a_to_b IS NULL OR b_to_a IS NULL THEN NULL WHEN lower(trim(a_to_b)) = 'uncertain' OR lower(trim(b_to_a)) = 'uncertain' THEN 'uncertain'
+            WHEN lower(trim(a_to_b)) = 'entailment' AND lower(trim(b_to_a)) = 'entailment' THEN 'preserved' ELSE 'changed' END) AS l FROM (SELECT *, {_WORD.format(x="preserves_meaning")} AS w FROM directional_judgments)),
+        v AS (SELECT pair_id, l FROM j WHERE l IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL UNION ALL SELECT pair_id, l FROM d WHERE l IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL),
+        c AS (SELECT pair_id, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair_id) AS m FROM v GROUP BY pair_id, l), k AS (SELECT * FROM c WHERE m > 1),
+        s AS (SELECT count(DISTINCT pair_id) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(n * (n - 1) / CAST(m - 1 AS DOUBLE)) AS same FROM k),
+        e AS (SELECT sum(t * (t - 1)) AS x FROM (SELECT CAST(sum(n) AS DOUBLE) AS t FROM k GROUP BY l))
+        SELECT p AS n_pairs, CAST(coalesce(n, 0) AS BIGINT) AS n_votes, round(same / n, 6) AS observed, round(x / (n * (n - 1)), 6) AS expected, round((same / n - x / (n * (n - 1))) / (1 - x / (n * (n - 1))), 6) AS alpha FROM s, e""",
+    "p5_found": r"""
+        WITH RECURSIVE k AS (SELECT id, lower(trim(source_id, ' ')) AS s FROM texts WHERE id IS NOT NULL),
+        e AS (SELECT id AS t, 's' || regexp_extract(s, '^([a-z]+)', 1) || CAST(CAST(regexp_extract(s, '([0-9]+)$', 1) AS HUGEINT) AS VARCHAR) AS n FROM k WHERE regexp_matches(s, '^[a-z]+[^a-z0-9]*[0-9]+$')
+          UNION SELECT text_id, 'e' || entity_id FROM mentions m JOIN entities n ON n.id = m.entity_id AND heuristic_group = 'proper_name' WHERE text_id IN (SELECT id FROM texts)),
+        r AS (SELECT t AS a, t AS b FROM e UNION SELECT r.a, y.t FROM r JOIN e x ON x.t = r.b JOIN e y ON y.n = x.n),
+        g AS (SELECT a AS text_id, min(b) AS group_id FROM r GROUP BY a)
+        SELECT * FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id HAVING count(*) > 1)""",
+}
