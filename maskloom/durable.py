@@ -32,10 +32,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Nothing needs the shuffle files behind it any more; Spark deletes them when the driver collects the
-    plans that held them, which is asked for here so that the next step has the disk to itself.
+    plans that held them, which is asked for here so that the next step has the disk to itself. The
+    tables of an application lie in a folder of its name, which can go when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/maskloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/maskloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
