@@ -294,21 +294,22 @@ def parties(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     nodes = cut(
         marked.groupBy("node", "kind", "key", "open").agg(F.count("*").alias("n_names"), F.count_if("entity").alias("n_entities")), "keys"
     )
-    linked = connected_components(_typos(nodes).unionByName(_meant(marked))).withColumnRenamed("component", "party")
+    linked = connected_components(cut(_typos(nodes), "typos").unionByName(_meant(marked))).withColumnRenamed("component", "party")
     known = cut(nodes.join(linked, "node", "left").withColumn("party", F.coalesce("party", "node")), "parties")
 
     # A name read both ways goes where it meets another name.
     sizes = known.groupBy("party").agg(F.sum("n_names").alias("met"))
     placed = marked.select("name", "entity", "kind", "node").join(known.select("node", "party"), "node").join(sizes, "party")
     first = placed.groupBy("name").agg(F.max_by("party", F.struct("met", (F.col("kind") == "P").cast("int"))).alias("party"))
-    hints = cut(first.select(F.col("name").alias("hint"), "party"), "hints")
+    first = cut(first, "first")
+    hints = first.select(F.col("name").alias("hint"), "party")
     people = known.where("kind = 'P'").select("key", "open", "node", "party", "n_names", "n_entities")
 
     # Initials and nicknames of several names, then bare surnames.
     partly = parsed.where((F.col("kind") == "I") | ((F.col("kind") == "P") & several)).select("name", "hint", "key", "open", "entity")
     fits = F.expr("open LIKE concat(asked, '%') AND length(asked) = 1 OR array_contains(split(asked, '[|]'), open)")
     settled = cut(_settle(partly, people, hints, fits), "partly")
-    left = partly.join(settled.select("name"), "name", "left_anti")
+    left = cut(partly.join(settled.select("name"), "name", "left_anti"), "left")
     own = F.xxhash64(F.lit("I"), "key", "open").bitwiseAND(F.lit((1 << 62) - 1))
     alone = left.groupBy("key", "open").agg(F.count("*").alias("n_names"), F.count_if("entity").alias("n_entities")).withColumn("node", own)
     alone = cut(alone.select("key", "open", "node", F.col("node").alias("party"), "n_names", "n_entities"), "alone")
@@ -317,22 +318,24 @@ def parties(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     by_surname = cut(_settle(bare, surnames, hints, F.lit(True)), "bare")
 
     # A bare or partly open name with a misspelt surname that no full name has.
-    lost = partly.select("name", "hint", "key", "open").unionByName(bare).join(settled.unionByName(by_surname).select("name"), "name", "left_anti")
-    near = _near_surnames(lost, people)
+    lost = cut(partly.select("name", "hint", "key", "open").unionByName(bare).join(settled.unionByName(by_surname).select("name"), "name", "left_anti"), "lost")
+    near = cut(_near_surnames(lost, people), "near")
     by_typo = _settle(lost.join(near, "key").select("name", "hint", F.col("right").alias("key"), "open"), people, hints, F.expr(
         "asked = '' OR open LIKE concat(asked, '%') AND length(asked) = 1 OR array_contains(split(asked, '[|]'), open)"
     ))
+    by_typo = cut(by_typo, "by-typo")
 
     # Acronyms.
     spelled = parsed.where("kind = 'O' AND open <> ''").select("open", F.xxhash64("kind", "key", F.lit("")).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"))
     orgs = spelled.groupBy("open", "node").count().join(known.select("node", "party", "n_names", "n_entities"), "node")
     orgs = orgs.select(F.col("open").alias("key"), F.lit("").alias("open"), "node", "party", "n_names", "n_entities")
     short = parsed.where("kind = 'A'").select("name", "hint", "key", "open")
-    by_letters = _settle(short, orgs, hints, F.lit(True))
+    by_letters = cut(_settle(short, cut(orgs, "spelled"), hints, F.lit(True)), "by-letters")
 
     unsettled = left.join(by_typo.select("name"), "name", "left_anti").select("name", own.alias("node"))
     to_party = known.select("node", "party").unionByName(alone.select("node", "party"))
     later = settled.unionByName(by_surname).unionByName(by_typo).unionByName(by_letters).unionByName(unsettled).join(to_party, "node").select("name", "party")
+    later = cut(later, "later")
     both = later.withColumn("late", F.lit(1)).unionByName(first.withColumn("late", F.lit(0)))
     return both.groupBy("name").agg(F.min_by("party", F.struct("late", "party")).alias("party"))
 
