@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import MONTHS
+
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 
 
@@ -64,3 +66,13 @@ def equivalents(x: Column) -> Column:
 def swapped_currency(x: Column) -> Column:
     """The same amount in another currency: a changed value."""
     return F.when(x.contains("$"), F.replace(x, F.lit("$"), F.lit("€"))).when(x.contains("€"), F.replace(x, F.lit("€"), F.lit("$"))).when(x.contains("£"), F.replace(x, F.lit("£"), F.lit("$")))
+
+
+def next_month(x: Column) -> Column:
+    """The first month name, in the order of the calendar, replaced by the next one; null without a month."""
+    out = None
+    for i, month in enumerate(MONTHS):
+        hit, put = F.contains(F.lower(x), F.lit(month)), MONTHS[(i + 1) % 12].capitalize()
+        changed = F.regexp_replace(x, f"(?i){month}", put)
+        out = F.when(hit, changed) if out is None else out.when(hit, changed)
+    return out

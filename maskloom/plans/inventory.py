@@ -162,6 +162,13 @@ def n04_equivalent(spark, folder):
     return e.select("id", F.array_join(N.equivalents(F.col("surface")), "|").alias("variants"))
 
 
+def n03_months(spark, folder):
+    t = table(spark, folder, "texts").select("id", F.substring("title", 1, 200).alias("title"))
+    e = table(spark, folder, "entities").select("id", F.col("surface").alias("title"))
+    rows = t.unionByName(e).withColumn("variant", N.next_month(F.col("title")))
+    return rows.where("variant IS NOT NULL").select("id", "title", "variant")
+
+
 def n05_currency(spark, folder):
     e = table(spark, folder, "entities")
     return e.select("id", N.swapped_currency(F.col("surface")).alias("variant")).where("variant IS NOT NULL")
@@ -302,6 +309,9 @@ SQL = {
           CASE WHEN regexp_matches(s, '\d percent$') THEN regexp_replace(s, ' percent$', '%') END, CASE WHEN regexp_matches(s, '^\$\d[\d,.]*$') THEN replace(s, '$', '') || ' dollars' END,
           CASE WHEN regexp_matches(s, '^€\d[\d,.]*$') THEN replace(s, '€', '') || ' euros' END, CASE WHEN regexp_matches(s, '^\d[\d,.]* euros$') THEN '€' || replace(s, ' euros', '') END], lambda x: x IS NOT NULL AND x <> s) AS l FROM b)
         SELECT id, array_to_string(l, '|') AS variants FROM v""",
+    "n03_months": "WITH r AS (SELECT id, substring(title, 1, 200) AS title FROM texts UNION ALL SELECT id, surface FROM entities), v AS (SELECT *, CASE " + " ".join(
+        f"WHEN contains(lower(title), '{a}') THEN regexp_replace(title, '(?i){a}', '{b.capitalize()}', 'g')" for a, b in zip(R.MONTHS, R.MONTHS[1:] + R.MONTHS[:1])
+    ) + " END AS variant FROM r) SELECT * FROM v WHERE variant IS NOT NULL",
     "n05_currency": """
         SELECT id, variant FROM (SELECT id, CASE WHEN contains(surface, '$') THEN replace(surface, '$', '€') WHEN contains(surface, '€') THEN replace(surface, '€', '$') WHEN contains(surface, '£') THEN replace(surface, '£', '$') END AS variant FROM entities)
         WHERE variant IS NOT NULL""",
