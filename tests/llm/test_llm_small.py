@@ -74,6 +74,33 @@ def test_buckets_above_the_chunk_lose_nothing(spark):
     assert len(plain) > 1500
 
 
+@pytest.mark.parametrize("n", [200, 2000])
+def test_many_edited_copies_stay_linked(spark, n):
+    base = story(8, 100)
+    texts = [edited(base, i, 10) for i in range(n)]  # 10 % of the words
+    code = {w: i for i, w in enumerate(WORDS)}
+    sets = [{tuple(code[w] for w in t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    place = {x: k for k, x in enumerate(set().union(*sets))}
+    has = np.zeros((n, len(place)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [place[y] for y in x]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = np.triu(both >= neardup.SIMILARITY * (size[:, None] + size - both), 1)
+    _, found = neardup.near_duplicates(spark.createDataFrame([(i, 1, None, " ".join(t), None, "x") for i, t in enumerate(texts)], TEXT))
+    got = found.select("a", "b").toPandas().to_numpy()
+    assert near[got[:, 0], got[:, 1]].all() and len(got) > 0.98 * near.sum() and near.sum() > 0.4 * n * (n - 1) / 2
+
+
+def test_bound_of_sketches_never_drops_a_pair():
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, 150, rng.integers(1, 2000))) for _ in range(60)] + [np.arange(40 * i, 40 * i + 90) for i in range(40)]
+    sk, size = neardup.sketches(lists), np.array([len(x) for x in lists])
+    i, j = map(np.array, zip(*itertools.combinations(range(100), 2)))
+    true = np.array([len(np.intersect1d(lists[a], lists[b])) / len(np.union1d(lists[a], lists[b])) for a, b in zip(i, j)])
+    may = neardup.may_reach(sk[i], sk[j], size[i], size[j], 0.3)
+    assert may[true >= 0.3].all() and not may[true < 0.05].all()
+
+
 def test_near_duplicates_of_nothing(spark):
     members, found = neardup.near_duplicates(spark.createDataFrame([], TEXT))
     assert members.count() == 0 and neardup.all_pairs(members, found).count() == 0
