@@ -21,6 +21,8 @@ SENSES = {
     "day.n.01": "yesterday today tomorrow", "city.n.01": "capital city town", "owner.n.01": "owner proprietor", "relative.n.01": "relative cousin kin",
 }
 
+_WORDS = 8  # of a name whose sets of words are listed, at most 255
+
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """``word, sense``."""
@@ -83,17 +85,22 @@ def numeric_pairs(entities: DataFrame, mentions: DataFrame, equivalents: int = 1
 def proper_pool(entities: DataFrame, per_entity: int = 3, least: float = 0.18) -> DataFrame:
     """``entity_id, candidate_id, score``: other proper names of the same type that share a word, by word overlap.
 
-    Pairs come from an equi-join on (type, word); words that more than a thousandth of the names share say
-    little and are no join key, so the pool of a name is bounded by rare words.
+    No word is too common. Among names of one size that have a given set of words, a later one has its overlap
+    with a name of just these shared words beaten or matched by all earlier ones, so the first ``per_entity``
+    besides the name itself suffice for every set of its words. That is exact, and linear in the names however
+    many share a word. Names of more than ``_WORDS`` words have too many sets and meet at single words instead.
     """
-    named = entities.where("heuristic_group = 'proper_name'").select("id", F.col("heuristic_type").alias("t"), F.array_distinct(T.tokens(F.col("surface"))).alias("w"))
-    n = named.count()
-    words = named.select("id", "t", "w", F.explode("w").alias("word"))
-    rare = words.groupBy("t", "word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= max(20, n // 1000))).drop("n")
-    kept = words.join(rare, ["t", "word"])
-    other = kept.select("t", "word", F.col("id").alias("candidate_id"), F.col("w").alias("v"))
+    named = entities.where("heuristic_group = 'proper_name'").select("id", F.col("heuristic_type").alias("t"), F.array_sort(F.array_distinct(T.tokens(F.col("surface")))).alias("w"))
+    named = named.where("t IS NOT NULL AND size(w) > 0").distinct()
+    sets = "transform(sequence(1, shiftleft(1, size(w)) - 1), m -> array_join(filter(w, (x, i) -> shiftright(m, i) & 1 = 1), ' '))"
+    short = named.where(F.size("w") <= _WORDS).withColumn("key", F.explode(F.expr(sets)))
+    first = top_per_group(short.withColumn("size", F.size("w")), ["t", "key", "size"], per_entity + 1, F.col("id")).select("t", "key", F.col("id").alias("candidate_id"), F.col("w").alias("v"))
+    words = named.withColumn("key", F.explode("w"))
+    every = words.select("t", "key", F.col("id").alias("candidate_id"), F.col("w").alias("v"))
+    many = short.join(first, ["t", "key"]).unionByName(words.where(F.size("w") > _WORDS).join(every, ["t", "key"]))
+    many = many.unionByName(words.where(F.size("w") <= _WORDS).join(every.where(F.size("v") > _WORDS), ["t", "key"]))
     score = T.jaccard(F.col("w"), F.col("v"))
-    met = kept.join(other, ["t", "word"]).where("id <> candidate_id").select(F.col("id").alias("entity_id"), "candidate_id", F.round(score, 6).alias("score")).distinct()
+    met = many.where("id <> candidate_id").select(F.col("id").alias("entity_id"), "candidate_id", F.round(score, 6).alias("score")).distinct()
     return top_per_group(met.where(F.col("score") >= least), ["entity_id"], per_entity, F.desc("score"), F.col("candidate_id")).select("entity_id", "candidate_id", "score", F.col("rank").cast("long"))
 
 

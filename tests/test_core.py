@@ -123,3 +123,21 @@ def test_scorer_is_made_per_task_and_missing_answers_are_named(spark):
     assert {tuple(r) for r in scoring.scored(rows, make, "id long, n long").collect()} == {(1, 1), (2, 2)}
     answers = spark.createDataFrame([(1, "yes")], "id long, said string")
     assert {(r["id"], r["said"]) for r in scoring.asked(rows, answers, "id", "said").collect()} == {(1, "yes"), (2, "missing")}
+
+
+def test_proper_pool_loses_no_common_word(spark):
+    from itertools import product
+
+    from maskloom.operators.generate import proper_pool
+
+    surfaces = [f"First{i} Smith" for i in range(60)] + [f"First{i} Middle{i % 4} Smith Jones" for i in range(40)] + ["Smith", "Jones Smith", "..."]
+    surfaces += [" ".join(f"Word{k}" for k in range(n)) + " Smith" for n in (7, 8, 11)] + ["Word1 Word2", "Word1 Word2"]
+    rows = [(i, x, "proper_name", "PERSON" if i % 9 else "ORG") for i, x in enumerate(surfaces)] + [(900, "Smith", "numeric", "PERSON"), (901, "Smith", "proper_name", None)]
+    got = {tuple(r) for r in proper_pool(spark.createDataFrame(rows, "id long, surface string, heuristic_group string, heuristic_type string")).collect()}
+    named = [(i, set(x.lower().split()) - {"..."}, t) for i, x, g, t in rows if g == "proper_name" and t]
+    best = {}
+    for (a, x, t), (b, y, u) in product(named, named):
+        if a != b and t == u and x & y and round(len(x & y) / len(x | y), 6) >= 0.18:
+            best.setdefault(a, []).append((-round(len(x & y) / len(x | y), 6), b))
+    assert got == {(a, b, -s, r) for a, found in best.items() for r, (s, b) in enumerate(sorted(found)[:3], 1)}
+    assert len(best) > 100
