@@ -140,6 +140,16 @@ def test_overlap_join_equals_all_dot_products(spark):
     assert got == want and 20 < len(want) < 900
 
 
+def test_overlap_of_a_large_edited_group(spark):
+    base, formula = story(300, 100), story(301, 30)
+    rows = [(i, 1 + i % 2, None, " ".join(edited(base, i, 10)), None, "x") for i in range(150)]  # 10 % of the words
+    rows += [(i, 1 + i % 2, None, " ".join(formula + story(i, 70)), None, "x") for i in range(1000, 1100)]
+    datasets = spark.createDataFrame([(1, "a", "train"), (2, "a", "test")], "id long, name string, split string")
+    members, found = overlap.overlaps(spark.createDataFrame(rows, TEXT), datasets, spark.createDataFrame([], MENTION))
+    got = {tuple(r) for r in overlap.all_pairs(members, found).collect()}
+    assert all(a < 150 and b < 150 for a, b in got) and len(got) > 0.95 * 75 * 75
+
+
 # --- p5 ---------------------------------------------------------------------------------------------
 
 
