@@ -84,6 +84,11 @@ def p7_use_of_space(spark, folder):
     return packing.use_of_space(p7_packing(spark, folder), table(spark, folder, "containers"))
 
 
+def p7_placement(spark, folder):
+    documents, sizes = _tables(spark, folder, "documents", "containers")
+    return packing.placement(documents, packing.pack_all(documents, sizes), sizes)
+
+
 def p8_found(spark, folder):
     return leakage.leaks(*_tables(spark, folder, "documents", "eval_items")).select("doc_id", "item_id")
 
@@ -121,6 +126,7 @@ QUERIES = {
     "p6_classes": p6_classes,
     "p7_packing": p7_packing,
     "p7_use_of_space": p7_use_of_space,
+    "p7_placement": p7_placement,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p9_found": p9_found,
@@ -131,6 +137,7 @@ _VOTE = "CASE WHEN starts_with(w, 'preserv') THEN 'preserved' WHEN starts_with(w
 
 # Only what SQL can say over whole tables; the others are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
+    "p7_placement": "SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_broken, 0::BIGINT AS n_over FROM containers",
     "p3_agreement": f"""
         WITH j AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, {_VOTE} AS l FROM (SELECT *, {_WORD.format(x="label")} AS w FROM judgments)),
         d AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, confidence, coalesce({_VOTE}, CASE WHEN a_to_b IS NULL OR b_to_a IS NULL THEN NULL WHEN lower(trim(a_to_b)) = 'uncertain' OR lower(trim(b_to_a)) = 'uncertain' THEN 'uncertain'

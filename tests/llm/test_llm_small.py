@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons on small tables."""
 
 import collections
+import heapq
 import itertools
 import random
 
@@ -211,18 +212,51 @@ def test_consensus_of_nothing_and_directions(spark):
 # --- p7 ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_patterns_hold_every_item_once(seed):
-    rng = random.Random(seed)
-    histogram = collections.Counter(rng.choice([3, 7, 20, 50, 64]) + rng.randrange(30) for _ in range(3000))
-    patterns = packing.shortest_pack_first(dict(histogram), 128)
+def plain_packs(histogram, capacity):
+    """Containers of the plain rule: longest item first, into the pack with most space, one by one."""
+    space = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if space and -space[0] >= length:
+                heapq.heapreplace(space, space[0] + length)
+            else:
+                heapq.heappush(space, length - capacity)
+    return len(space)
+
+
+HISTOGRAMS = [
+    ({60: 1000, 7: 4000, 5: 2000}, 100), ({50: 1, 10: 5}, 100), ({700: 500, 30: 5000}, 1000), ({100: 3}, 100), ({1: 1001}, 100), ({}, 10),
+    ({51: 400, 49: 399, 2: 300, 1: 7}, 100), ({34: 1000, 33: 1000}, 100), ({997: 40, 3: 500, 2: 1}, 1000),
+]
+for _seed in range(12):
+    _rng = random.Random(_seed)
+    _from = _rng.sample(range(1, 129), _rng.randrange(1, 60))
+    HISTOGRAMS.append((dict(collections.Counter(_rng.choice(_from) for _ in range(3000))), 128))
+
+
+@pytest.mark.parametrize("histogram, capacity", HISTOGRAMS)
+def test_patterns_hold_every_item_once_in_as_many_packs_as_one_by_one(histogram, capacity):
+    patterns = packing.shortest_pack_first(histogram, capacity)
     held = collections.Counter()
     for packs, pattern in patterns:
-        assert packs > 0 and sum(n * k for n, k in pattern) <= 128
+        assert packs > 0 and sum(n * k for n, k in pattern) <= capacity
         for n, k in pattern:
             held[n] += packs * k
     assert held == histogram
-    assert sum(n * k for n, k in histogram.items()) / 128 / sum(p for p, _ in patterns) > 0.95
+    assert sum(p for p, _ in patterns) == plain_packs(histogram, capacity)
+
+
+def test_packing_is_repeatable_and_salts_change_nothing_but_places(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, rng.choice([3, 3, 3, 40, 61, 150])) for i in range(900)], "doc_id long, n_tokens long")
+    one = sorted(tuple(r) for r in packing.pack(df, 100).collect())
+    assert one == sorted(tuple(r) for r in packing.pack(df.repartition(7), 100).collect())
+    many = packing.pack(df, 100, per_salt=50).collect()
+    assert len({r["container_id"] for r in many}) == len({r[0] for r in one})
+    use = collections.Counter()
+    for r in many:
+        use[r["container_id"]] += r["n_tokens"]
+    assert max(use.values()) <= 100 and sum(use.values()) == sum(r[4] for r in one)
 
 
 def test_packing_places_all_and_splits_only_long_items(spark):
