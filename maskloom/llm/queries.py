@@ -25,13 +25,21 @@ def _truth(spark, folder):
 
 
 def p3_found(spark, folder):
-    judged, posterior, _ = _truth(spark, folder)
-    return consensus.consensus(judged, posterior).select("pair_id", "label")
+    judged, truth, _ = _truth(spark, folder)
+    return consensus.consensus(judged, truth).select("pair_id", "label")
 
 
 def p3_annotators(spark, folder):
-    _, posterior, votes = _truth(spark, folder)
-    return consensus.annotators(votes, posterior)
+    _, truth, votes = _truth(spark, folder)
+    return consensus.annotators(votes, truth)
+
+
+def p3_first_weights(spark, folder):
+    """The weights of the first round, which SQL can follow."""
+    votes = consensus.votes_of(*_tables(spark, folder, "judgments", "directional_judgments")).withColumn("weight", F.lit(1.0))
+    sums = consensus.sums_of(votes)
+    weighed = consensus.weights(votes, sums, consensus.by_chance(sums))
+    return weighed.select("source", F.col("n").alias("n_votes"), F.round("weight", 4).alias("weight"))
 
 
 def p3_agreement(spark, folder):
@@ -118,6 +126,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_annotators": p3_annotators,
     "p3_agreement": p3_agreement,
+    "p3_first_weights": p3_first_weights,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
@@ -135,18 +144,33 @@ QUERIES = {
 _WORD = "regexp_replace(lower({x}), '[^a-z]', '', 'g')"
 _VOTE = "CASE WHEN starts_with(w, 'preserv') THEN 'preserved' WHEN starts_with(w, 'change') THEN 'changed' WHEN starts_with(w, 'uncertain') OR starts_with(w, 'unsure') THEN 'uncertain' END"
 
+_VOTES = f"""j AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, {_VOTE} AS l FROM (SELECT *, {_WORD.format(x="label")} AS w FROM judgments)),
+        d0 AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, confidence, coalesce({_VOTE}, CASE WHEN a_to_b IS NULL OR b_to_a IS NULL THEN NULL WHEN lower(trim(a_to_b)) = 'uncertain' OR lower(trim(b_to_a)) = 'uncertain' THEN 'uncertain'
+            WHEN lower(trim(a_to_b)) = 'entailment' AND lower(trim(b_to_a)) = 'entailment' THEN 'preserved' ELSE 'changed' END) AS l FROM (SELECT *, {_WORD.format(x="preserves_meaning")} AS w FROM directional_judgments)),
+        v AS (SELECT pair_id, l, annotator_id || '|label' AS source FROM j WHERE l IS NOT NULL AND judgment_id IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL
+            UNION ALL SELECT pair_id, l, annotator_id || '|directions-' || CASE WHEN confidence IS NULL OR isnan(confidence) OR confidence < 0 THEN 'none' WHEN confidence < 0.5 THEN 'low' WHEN confidence < 0.8 THEN 'middle' ELSE 'high' END
+            FROM d0 WHERE l IS NOT NULL AND judgment_id IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL)"""
+
 # Only what SQL can say over whole tables; the others are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
     "p7_placement": "SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_broken, 0::BIGINT AS n_over FROM containers",
     "p3_agreement": f"""
-        WITH j AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, {_VOTE} AS l FROM (SELECT *, {_WORD.format(x="label")} AS w FROM judgments)),
-        d AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, confidence, coalesce({_VOTE}, CASE WHEN a_to_b IS NULL OR b_to_a IS NULL THEN NULL WHEN lower(trim(a_to_b)) = 'uncertain' OR lower(trim(b_to_a)) = 'uncertain' THEN 'uncertain'
-            WHEN lower(trim(a_to_b)) = 'entailment' AND lower(trim(b_to_a)) = 'entailment' THEN 'preserved' ELSE 'changed' END) AS l FROM (SELECT *, {_WORD.format(x="preserves_meaning")} AS w FROM directional_judgments)),
-        v AS (SELECT pair_id, l FROM j WHERE l IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL UNION ALL SELECT pair_id, l FROM d WHERE l IS NOT NULL AND pair_id IS NOT NULL AND annotator_id IS NOT NULL),
-        c AS (SELECT pair_id, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair_id) AS m FROM v GROUP BY pair_id, l), k AS (SELECT * FROM c WHERE m > 1),
+        WITH {_VOTES}, c AS (SELECT pair_id, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair_id) AS m FROM v GROUP BY pair_id, l), k AS (SELECT * FROM c WHERE m > 1),
         s AS (SELECT count(DISTINCT pair_id) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(n * (n - 1) / CAST(m - 1 AS DOUBLE)) AS same FROM k),
         e AS (SELECT sum(t * (t - 1)) AS x FROM (SELECT CAST(sum(n) AS DOUBLE) AS t FROM k GROUP BY l))
         SELECT p AS n_pairs, CAST(coalesce(n, 0) AS BIGINT) AS n_votes, round(same / n, 6) AS observed, round(x / (n * (n - 1)), 6) AS expected, round((same / n - x / (n * (n - 1))) / (1 - x / (n * (n - 1))), 6) AS alpha FROM s, e""",
+    "p3_first_weights": f"""
+        WITH {_VOTES}, g AS (SELECT pair_id, source, l, count(*) AS n FROM v GROUP BY pair_id, source, l),
+        t AS (SELECT pair_id, sum(n) FILTER (l = 'preserved') AS p, sum(n) FILTER (l = 'changed') AS c, sum(n) FILTER (l = 'uncertain') AS u FROM g GROUP BY pair_id),
+        z AS (SELECT pair_id, coalesce(p, 0) AS p, coalesce(c, 0) AS c, coalesce(u, 0) AS u, greatest(coalesce(p, 0), coalesce(c, 0), coalesce(u, 0)) AS top FROM t),
+        k AS (SELECT *, (p = top)::INT + (c = top)::INT + (u = top)::INT AS ties FROM z),
+        a AS (SELECT 1 - avg((p = top)::INT / ties) AS p, 1 - avg((c = top)::INT / ties) AS c, 1 - avg((u = top)::INT / ties) AS u FROM k),
+        o AS (SELECT source, l, n, p - CASE WHEN l = 'preserved' THEN n ELSE 0 END AS p, c - CASE WHEN l = 'changed' THEN n ELSE 0 END AS c, u - CASE WHEN l = 'uncertain' THEN n ELSE 0 END AS u FROM g JOIN z USING (pair_id)),
+        m AS (SELECT *, greatest(p, c, u) AS top FROM o),
+        d AS (SELECT source, n, CASE WHEN m.top > 0 THEN n ELSE 0 END AS told, (1 - (CASE l WHEN 'preserved' THEN m.p WHEN 'changed' THEN m.c ELSE m.u END = m.top)::INT / ((m.p = m.top)::INT + (m.c = m.top)::INT + (m.u = m.top)::INT))
+            / CASE l WHEN 'preserved' THEN a.p WHEN 'changed' THEN a.c ELSE a.u END AS d FROM m, a),
+        s AS (SELECT source, sum(n) AS n, greatest(CAST(sum(told) AS DOUBLE), 0.001) AS k, sum(told * d) AS d FROM d GROUP BY source)
+        SELECT source, CAST(n AS BIGINT) AS n_votes, round(greatest(0.001, -ln(least(1.0, (d + 0.05) / greatest(k * pow(greatest(0.0, 1 - 2 / (9 * k) - 1.959964 * sqrt(2 / (9 * k))), 3), 0.001)))), 4) AS weight FROM s""",
     "p5_found": r"""
         WITH RECURSIVE k AS (SELECT id, lower(trim(source_id, ' ')) AS s FROM texts WHERE id IS NOT NULL),
         e AS (SELECT id AS t, 's' || regexp_extract(s, '^([a-z]+)', 1) || CAST(CAST(regexp_extract(s, '([0-9]+)$', 1) AS HUGEINT) AS VARCHAR) AS n FROM k WHERE regexp_matches(s, '^[a-z]+[^a-z0-9]*[0-9]+$')

@@ -180,7 +180,7 @@ DIRECTED = "judgment_id long, pair_id string, annotator_id string, a_to_b string
 def test_consensus_weighs_annotators(spark):
     rng = random.Random(11)
     truth = {f"p{i}": rng.choice(["preserved", "changed", "changed"]) for i in range(300)}
-    skill = {"good": 0.95, "fair": 0.85, "bad": 0.35, "worse": 0.35, "poor": 0.35}
+    skill = {"good": 0.95, "fair": 0.85, "sound": 0.85, "bad": 0.35, "worse": 0.35, "poor": 0.35}
     rows = []
     for p, t in truth.items():
         for a, s in skill.items():
@@ -193,7 +193,7 @@ def test_consensus_weighs_annotators(spark):
     right = sum(got[p] == t for p, t in truth.items()) / len(truth)
     plain = 0
     for p, t in truth.items():
-        count = collections.Counter(r[3] for r in rows[:1500] if r[1] == p).most_common()
+        count = collections.Counter(r[3] for r in rows[: len(truth) * len(skill)] if r[1] == p).most_common()
         plain += count[0][0] == t
     assert right > 0.88 and right > plain / len(truth) + 0.03
     rate = {r["annotator_id"]: r["reliability"] for r in consensus.annotators(votes, posterior).collect()}
