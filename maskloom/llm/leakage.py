@@ -1,39 +1,42 @@
 """Evaluation passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
 
-The passages are the stated query set. They are taken in blocks of bounded size, each block is sent to
-all tasks, and every document is read whole by one task that finds seeds and aligns in place, so
-documents are never shuffled.
+Documents are read once for seeds: their n-grams pass a bit filter of the passages' n-grams, of bounded size
+however many passages there are, and what passes is joined with the passages on the n-gram itself. Seeds on
+neighbouring diagonals make stretches, and every stretch that may hold a copy is aligned word by word. Only
+documents with such a stretch are read a second time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._text import Codes, mix, words_of
+from ..durable import cut, release
+from ..operators.skew import join_by_size, lookup
+from ._text import mix, words
 
 SEED = 4  # words
 RARE_SHARE, RARE_LEAST = 0.002, 20
 SHARED_SHARE, SHARED_LEAST, SHARED_RUN = 0.02, 3, 6
 STOCK_RUN = 8  # seeds in a row
-BLOCK = 5000  # passages
 SCORE = 23.0  # of the alignment; a word that agrees counts 2
+SHORT = 0.9  # of the best score a passage can have, where that is less
 MATCH, MISMATCH, GAP, SLACK = 2.0, -1.0, 1.0, 12
 ALIKE, STOCK = 0.75, 0.5  # of a match: a word one edit apart, a word of a stock phrase
+BITS_PER_SEED, BITS_MOST = 32, 1 << 29
 
+_HYPHEN = r"(?<=\p{L})[-\u2010]\s*\n\s*(?=\p{L})"
+_MARKUP = r"<[^<>\n]{0,60}>|&(?:[a-zA-Z]{2,8}|#[0-9]{1,6});"
 
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010]\s*\n\s*(?=[^\W\d_])")
-_MARKUP = re.compile(r"<[^<>\n]{0,60}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
 
-
-def plain_words(text: str | None) -> list[str]:
+def plain_words(text: Column) -> Column:
     """Words of a text without markup and without the hyphens that break words at line ends."""
-    return words_of(_MARKUP.sub(" ", _HYPHEN.sub("", text))) if text else []
+    return words(F.regexp_replace(F.regexp_replace(text, _HYPHEN, ""), _MARKUP, " "))
 
 
 def grams(h: np.ndarray, k: int = SEED) -> np.ndarray:
@@ -48,64 +51,99 @@ def grams(h: np.ndarray, k: int = SEED) -> np.ndarray:
     return out
 
 
-class Passages:
-    """A block of passages and its seeds."""
-
-    def __init__(self, ids, texts, shared: np.ndarray):
-        self.ids = np.asarray(ids, np.int64)
-        self.words = [plain_words(t) for t in texts]
-        codes = Codes()
-        seeds, item, place = [], [], []
-        self.blank = []
-        for i, said in enumerate(self.words):
-            h = codes.of(said)
-            g = grams(h)
-            common = np.isin(g, shared)
-            # An instruction line is a long run of seeds that many passages share.
-            blank = np.zeros(len(h), bool)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
-            for s, e in zip(edges[::2], edges[1::2]):
-                if e - s >= SHARED_RUN:
-                    blank[s : e + SEED - 1] = True
-            self.blank.append(blank)
-            inside = np.array([not blank[p : p + SEED].any() for p in range(len(g))], bool)
-            seeds.append(g[inside])
-            place.append(np.flatnonzero(inside))
-            item.append(np.full(int(inside.sum()), i))
-        seeds = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.item = np.concatenate(item)[order] if len(order) else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if len(order) else np.empty(0, np.int64)
-        self.seeds, self.start = np.unique(seeds[order], return_index=True)
-        self.end = np.append(self.start[1:], len(order))
-
-    def worth(self, scarce: np.ndarray) -> list[np.ndarray]:
-        """What each word of each passage earns: nothing in instruction lines, little in stock phrases.
-
-        A stock phrase is a short run of common seeds. A long one is a passage that many documents hold.
-        """
-        common = [np.zeros(len(w), bool) for w in self.words]
-        for k in np.flatnonzero(~scarce):
-            for e in range(self.start[k], self.end[k]):
-                common[self.item[e]][self.place[e]] = True
-        out = []
-        for flags, blank in zip(common, self.blank):
-            value = np.where(blank, 0.0, MATCH)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-            for s, e in zip(edges[::2], edges[1::2]):
-                if e - s <= STOCK_RUN:
-                    value[s : e + SEED - 1] = np.minimum(value[s : e + SEED - 1], MATCH * STOCK)
-            out.append(value)
+class Filter:
+    """A set of hashes as bits: two per hash. It may let others pass, but never stops one of its own."""
+
+    def __init__(self, n_bits: int):
+        self.mask = np.uint64(n_bits - 1)
+        self.bits = np.zeros(n_bits // 8, np.uint8)
+
+    @staticmethod
+    def size_for(n: int, most: int = BITS_MOST) -> int:
+        return min(most, 1 << max(6, int(n * BITS_PER_SEED - 1).bit_length()))
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (hashes & self.mask).astype(np.int64), ((hashes >> np.uint64(32)) & self.mask).astype(np.int64)
+
+    def add_words(self, at: np.ndarray, bits: np.ndarray) -> None:
+        self.bits.view(np.int64)[at] = bits
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for p in self.places(hashes):
+            out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a document where a seed begins, and which seed."""
-        g = grams(hashes)
-        if not len(g) or not len(self.seeds):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        k = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
-        at = np.flatnonzero(self.seeds[k] == g)
-        return at, k[at]
+
+def _filter_of(seeds: DataFrame, n: int, most: int) -> Filter:
+    """The filter of the column ``g``. Tasks send words of bits that are set, at most as many as the filter has."""
+    out = Filter(Filter.size_for(n, most))
+    mask = int(out.mask)
+    place = F.explode(F.array(F.col("g").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("g", 32).bitwiseAND(F.lit(mask))))
+    bits = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63L AS INT))")).alias("bits"))
+    rows = bits.toPandas()
+    out.add_words(rows["w"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64))
+    return out
+
+
+def _passages(shared: np.ndarray):
+    """For mapInPandas: what each passage has; an instruction line, a long run of seeds that many passages share, is blank."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            blanks, seeds = [], []
+            for h in batch["h"]:
+                g = grams(np.asarray(h, np.int64).view(np.uint64))
+                common = np.isin(g, shared)
+                blank = np.zeros(len(h), bool)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
+                for s, e in zip(edges[::2], edges[1::2]):
+                    if e - s >= SHARED_RUN:
+                        blank[s : e + SEED - 1] = True
+                blanks.append(blank.tolist())
+                inside = [p for p in range(len(g)) if not blank[p : p + SEED].any()]
+                seeds.append([{"place": p, "g": int(x)} for p, x in zip(inside, g[inside].view(np.int64))] if inside else [])
+            yield pd.DataFrame({"item": batch["item"], "words": batch["words"], "blank": blanks, "seeds": seeds})
+
+    return run
+
+
+def _hits(filter_):
+    """For mapInPandas: the n-grams of documents that pass the filter; ``first`` marks the first of its kind in a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = filter_.value
+        for batch in batches:
+            ids, ats, found, firsts = [], [], [], []
+            for id, h in zip(batch["id"], batch["h"]):
+                g = grams(np.asarray(h, np.int64).view(np.uint64))
+                at = np.flatnonzero(wanted.passes(g)) if len(g) else ()
+                if len(at):
+                    first = np.zeros(len(at), bool)
+                    first[np.unique(g[at], return_index=True)[1]] = True
+                    ids.append(np.full(len(at), id))
+                    ats.append(at)
+                    found.append(g[at].view(np.int64))
+                    firsts.append(first)
+            if ids:
+                yield pd.DataFrame({"doc": np.concatenate(ids), "at": np.concatenate(ats), "g": np.concatenate(found), "first": np.concatenate(firsts)})
+
+    return run
+
+
+def worth(blank, common) -> np.ndarray:
+    """What each word of a passage earns: nothing in instruction lines, little in stock phrases.
+
+    A stock phrase is a short run of common seeds. A long one is a passage that many documents hold.
+    """
+    value = np.where(np.asarray(blank, bool), 0.0, MATCH)
+    flags = np.zeros(len(value) + 1, np.int8)
+    flags[np.asarray(common, np.int64)] = 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
+    for s, e in zip(edges[::2], edges[1::2]):
+        if e - s <= STOCK_RUN:
+            value[s : e + SEED - 1] = np.minimum(value[s : e + SEED - 1], MATCH * STOCK)
+    return value
 
 
 def alike(a: str, b: str) -> bool:
@@ -168,106 +206,97 @@ def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellin
     return best
 
 
-def candidates(block: Passages, rare: np.ndarray, at: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Passages worth aligning with a document: (item, begin, end) of the stretch around the best diagonal.
+def _aligned(least: float):
+    """For mapInPandas: the score of each stretch that reaches what its passage asks for."""
 
-    Either several rare seeds, or, however common the seeds, many of them in a row: a passage that a large
-    part of all documents contains has no rare seed, a stock phrase is too short for the other.
-    """
-    n = block.end[seed] - block.start[seed]
-    where = np.repeat(at, n)
-    entry = np.repeat(block.start[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    items, diagonal, scarce = block.item[entry], where - block.place[entry], np.repeat(rare[seed], n)
-    which = np.repeat(seed, n)
-    order = np.lexsort((diagonal, items))
-    items, diagonal, scarce, which = items[order], diagonal[order], scarce[order], which[order]
-    key = items * (1 << 40) + diagonal
-    band = np.searchsorted(key, key + SLACK, side="right") - np.arange(len(key))
-    first = np.concatenate([[0], np.flatnonzero(np.diff(items)) + 1])
-    last = np.append(first[1:], len(items))
-    n_rare, in_row = np.add.reduceat(scarce.astype(np.int64), first), np.maximum.reduceat(band, first)
-    for k in np.flatnonzero((n_rare >= 3) | ((n_rare >= 2) & (in_row >= 4)) | (in_row >= 8)):
-        s, e = first[k], last[k]
-        best = s + int(band[s:e].argmax())
-        different = len(np.unique(which[best : best + band[best]]))
-        rare_ones = len(np.unique(which[s:e][scarce[s:e]]))
-        if rare_ones >= 3 or (rare_ones >= 2 and different >= 4) or different >= 8:
-            item, at_diagonal = int(items[s]), int(diagonal[best])
-            yield item, at_diagonal - SLACK, at_diagonal + 2 * SLACK + len(block.words[item])
-
-
-def _seed_counts(block):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = block.value
-        total = np.zeros(len(passages.seeds), np.int64)
-        codes = Codes()
-        for batch in batches:
-            for text in batch["text"]:
-                total[np.unique(passages.hits(codes.of(plain_words(text)))[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": seen, "n": total[seen]})
-
-    return run
-
-
-def _search(block, rare, least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages, scarce = block.value, rare.value
-        value = passages.worth(scarce)
-        codes, spellings = Codes(), {}
+        known: dict[int, tuple] = {}
         for batch in batches:
             out = []
-            for id, text in zip(batch["id"], batch["text"]):
-                doc = plain_words(text)
-                at, seed = passages.hits(codes.of(doc))
-                if len(at) < 3:
-                    continue
-                for item, low, high in candidates(passages, scarce, at, seed):
-                    if item not in spellings:
-                        if len(spellings) >= 1000:
-                            spellings.clear()
-                        spellings[item] = Spellings(passages.words[item])
-                    score = align(passages.words[item], value[item], doc[max(0, low) : max(0, high)], spellings[item])
-                    if score >= least:
-                        out.append((id, passages.ids[item], score))
+            for doc, item, said, passage, blank, common in batch.itertuples(index=False):
+                if item not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    value = worth(blank, common)
+                    known[item] = (list(passage), value, Spellings(list(passage)), min(least, SHORT * float(value.sum())))
+                words_, value, spellings, need = known[item]
+                score = align(words_, value, list(said), spellings)
+                if score >= need:
+                    out.append((doc, item, score))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: float = SCORE, block: int = BLOCK) -> DataFrame:
+def stretches(matched: DataFrame) -> DataFrame:
+    """``doc, item, low, high``: stretches of documents to align, from rows ``doc, item, length, at, place, rare``.
+
+    A document and a passage go together if they share several rare seeds or, however common the seeds, many in
+    a row: a passage that a large part of all documents contains has no rare seed, a stock phrase is too
+    short for the other. Then every stretch is aligned that has a rare seed or some seeds in a row.
+    """
+    rows = matched.withColumn("d", F.col("at") - F.col("place"))
+    both = Window.partitionBy("doc", "item")
+    band = both.orderBy("d").rangeBetween(0, SLACK)
+    rows = rows.withColumn("row", F.size(F.collect_set("place").over(band))).withColumn("scarce", F.size(F.collect_set(F.when(F.col("rare"), F.col("place"))).over(both)))
+    rows = rows.withColumn("most", F.max("row").over(both)).where("scarce >= 3 OR (scarce >= 2 AND most >= 4) OR most >= 8")
+    # Seeds whose stretches overlap belong to one.
+    far = F.col("d") - F.lag("d").over(both.orderBy("d")) > F.col("length") + 2 * SLACK
+    rows = rows.withColumn("new", F.coalesce(far, F.lit(False)).cast("int")).withColumn("island", F.sum("new").over(both.orderBy("d")))
+    per = rows.groupBy("doc", "item", "island").agg(
+        F.min("d").alias("first"), F.max("d").alias("last"), F.max("length").alias("length"), F.max("rare").alias("rare"), F.max("row").alias("row")
+    )
+    return per.where("rare OR row >= 4").select(
+        "doc", "item", F.greatest(F.lit(0), F.col("first") - SLACK).alias("low"), (F.col("last") + F.col("length") + SLACK).alias("high")
+    )
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: float = SCORE, most_bits: int = BITS_MOST) -> DataFrame:
     """``doc_id, item_id, score``: documents and the passages they contain, fully or partly, also altered.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, passage``. Seeds that many passages share
-    begin nothing, and longer runs of them (instruction lines) earn nothing in an alignment. Null ids, null,
-    empty or wordless texts match nothing; passages shorter than a seed neither; ids are expected to be
-    unique, repeated document rows give repeated results; empty tables give an empty result.
+    begin nothing, and longer runs of them (instruction lines) earn nothing in an alignment. ``least`` is the
+    score of about twelve equal words; a passage that cannot reach it must be there nearly whole. Null ids, null,
+    empty or wordless texts match nothing, passages shorter than a seed neither; of repeated ids the best
+    score counts; empty tables give an empty result. ``most_bits`` bounds the filter sent to all tasks, not the result.
     """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, score double"
-    asked = items.select(F.col("item_id").cast("long").alias("id"), F.col("passage").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    asked = items.select(F.col("item_id").cast("long").alias("item"), plain_words(F.col("passage")).alias("words")).where("item IS NOT NULL AND size(words) > 0")
+    asked = asked.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    n_items = asked.count()
-    n_docs = docs.count()
+    n_items, n_docs = asked.count(), docs.count()
 
     def own_grams(batches):
-        codes = Codes()
         for batch in batches:
-            found = [np.unique(grams(codes.of(plain_words(t)))).view(np.int64) for t in batch["text"]]
+            found = [np.unique(grams(np.asarray(h, np.int64).view(np.uint64))).view(np.int64) for h in batch["h"]]
             yield pd.DataFrame({"g": np.concatenate(found or [np.empty(0, np.int64)])})
 
-    often = asked.mapInPandas(own_grams, "g long").groupBy("g").count().where(F.col("count") >= max(SHARED_LEAST, SHARED_SHARE * n_items))
+    often = asked.select("h").mapInPandas(own_grams, "g long").groupBy("g").count().where(F.col("count") >= max(SHARED_LEAST, SHARED_SHARE * n_items))
     shared = np.array([r["g"] for r in often.collect()], np.int64).view(np.uint64)  # at most 1 / SHARED_SHARE times a passage's length
-    found = None
-    n_blocks = -(-n_items // block)
-    for b in range(n_blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
-        rows = mine.collect()
-        passages = spark.sparkContext.broadcast(Passages([r["id"] for r in rows], [r["text"] for r in rows], shared))
-        counts = docs.select("text").mapInPandas(_seed_counts(passages), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        scarce = np.ones(len(passages.value.seeds), bool)
-        for r in counts.where(F.col("n") > max(RARE_LEAST, RARE_SHARE * n_docs)).collect():
-            scarce[r["seed"]] = False
-        one = docs.mapInPandas(_search(passages, spark.sparkContext.broadcast(scarce), least), schema)
-        found = one if found is None else found.unionByName(one)
-    return spark.createDataFrame([], schema) if found is None else found
+    passages = cut(
+        asked.mapInPandas(_passages(shared), "item long, words array<string>, blank array<boolean>, seeds array<struct<place:int,g:long>>"), "passages"
+    )
+    seeds = passages.select("item", F.size("words").alias("length"), F.explode("seeds").alias("x")).select("item", "length", "x.place", "x.g")
+    filter_ = spark.sparkContext.broadcast(_filter_of(seeds, seeds.count(), most_bits))
+    hashed = docs.select("id", F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    hits = cut(hashed.mapInPandas(_hits(filter_), "doc long, at int, g long, first boolean"), "seed-hits")
+    met = hits.groupBy("g").agg(F.count("*").alias("n"), F.count_if("first").alias("n_docs"))
+    rare = F.col("n_docs") <= max(RARE_LEAST, RARE_SHARE * n_docs)
+    entries = seeds.groupBy("g").agg(F.collect_list(F.struct("item", "length", "place")).alias("entries"))
+    met = cut(met.join(entries, "g").select("g", "n", rare.alias("rare"), "entries"), "seeds-met")
+    matched = lookup(hits, met, "g", "n").select("doc", "at", "rare", F.explode("entries").alias("x")).select("doc", "at", "rare", "x.item", "x.length", "x.place")
+    found = cut(stretches(matched), "stretches")
+    release(hits)
+
+    # The documents of the stretches, and what their passages are worth.
+    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("item", "low", "high")).alias("parts"))
+    said = join_by_size(docs.withColumnRenamed("id", "doc"), per_doc, "doc").select("doc", plain_words(F.col("text")).alias("said"), "parts")
+    said = said.select("doc", "said", F.explode("parts").alias("x"))
+    said = said.select("doc", "x.item", F.slice("said", F.col("x.low") + 1, F.col("x.high") - F.col("x.low")).alias("said"))
+    stock = met.where("NOT rare").select(F.explode("entries").alias("x")).groupBy("x.item").agg(F.collect_set("x.place").alias("common"))
+    sizes = found.groupBy("item").agg(F.count("*").alias("n"))
+    worthy = passages.select("item", "words", "blank").join(sizes, "item").join(stock, "item", "left")
+    worthy = cut(worthy.select("item", "n", "words", "blank", F.coalesce("common", F.array().cast("array<int>")).alias("common")), "worthy")
+    rows = lookup(said, worthy, "item", "n").select("doc", "item", "said", "words", "blank", "common")
+    scored = rows.mapInPandas(_aligned(least), "doc_id long, item_id long, score double")
+    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

@@ -300,7 +300,7 @@ def test_leaks_fully_partly_altered_but_no_shared_lines(spark):
     d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
     want = {(1, 0), (2, 1), (3, 2), (8, 4), *((100 + i, 5) for i in range(60))}
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e).collect()} == want
-    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e, block=2).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e, most_bits=64).collect()} == want
     assert leakage.leaks(d, e.limit(0)).count() == 0 and leakage.leaks(d.limit(0), e).count() == 0
 
 
