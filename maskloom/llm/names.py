@@ -1,9 +1,11 @@
-"""Spellings of one person or organisation linked by canonical rewritings.
-
-Each name is rewritten by nickname, initial, title, legal-form and token-order rules to a canonical key
-and to the forms its key takes with one letter left out. Equal keys are one party; keys that share a form
-and differ by one edit are joined when one of both is rare; names that leave something open (an initial,
-a bare surname, a nickname of several names, an acronym) go to the one party they fit, or to none.
+"""Spellings of one person or organisation linked by canonical rewritings, scored by their rarity.
+
+Each name is rewritten by nickname, initial, title, legal-form and token-order rules to canonical keys, and
+every key to the forms it takes with one letter left out or with letters that look alike made equal. Names
+and forms are exploded and equi-joined. Equal keys are one party. A shared weaker form counts by how rare it is: two keys one edit
+apart are joined when one of both is rare against the other, and a name that leaves something open (an
+initial, a bare surname, a nickname of several names, an acronym) goes to the party of whose names the form comes, if hardly
+any other name makes it.
 """
 
 from __future__ import annotations
@@ -14,9 +16,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..durable import cut
 from ..operators.components import connected_components
@@ -46,12 +47,10 @@ NICKNAMES = {
 }
 # Titles, and words of legal forms with their abbreviations.
 TITLES = frozenset(
-    w.replace("rn", "m") for w in
     "mr mrs ms miss dr prof professor sir dame lord lady judge justice sen senator rep gov governor capt captain col colonel "
     "gen general lt sgt maj major minister president chancellor mayor rev father sister".split()
 )
 LEGAL = frozenset(
-    w.replace("rn", "m") for w in
     "university univ institute inst association assn assoc federation fed corporation corp department dept international intl "
     "incorporated inc limited ltd group grp company co trust holdings manufacturing mfg brothers bros llc plc".split()
 )
@@ -60,9 +59,9 @@ PEOPLE, NOISE = frozenset(("PERSON", "ORG")), frozenset(("NORP", "WORK_OF_ART",
 _FORMAL: dict[str, tuple[str, ...]] = {}
 for _name, _short in NICKNAMES.items():
     for _x in (_name, *_short.split()):
-        _x = _x.replace("rn", "m")
         _FORMAL[_x] = (*_FORMAL.get(_x, ()), _name)
 _DIGITS = str.maketrans("0135", "oles")
+RARE = 2.0  # bits: at most a quarter of the names that make a form are of other parties
 
 
 def alike(a: str, b: str) -> bool:
@@ -76,15 +75,20 @@ def alike(a: str, b: str) -> bool:
     return x == y[1:] or x[1:] == y or x[1:] == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
+def folded(key: str) -> str:
+    """The key with letters made equal that look alike in print: what is no evidence by itself."""
+    return key.replace("rn", "m").replace("vv", "w").replace("cl", "d")
+
+
 def shortened(word: str) -> set[str]:
-    """The word, and the word with one letter left out (one of six letters or more only)."""
+    """The word, and, of five letters or more, the word with one letter left out."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 4 else {word}
 
 
 _FORMAL_FORMS: dict[str, set[str]] = {}
 _LEGAL_FORMS: dict[str, set[str]] = {}
 for _words, _forms in ((NICKNAMES, _FORMAL_FORMS), ([w for w in LEGAL if len(w) > 6], _LEGAL_FORMS)):
-    for _x in (w.replace("rn", "m") for w in _words):
+    for _x in _words:
         for _f in shortened(_x):
             _forms.setdefault(_f, set()).add(_x)
 
@@ -95,10 +99,10 @@ def _misspelt(word: str, forms: dict[str, set[str]]) -> str | None:
 
 
 def tokens(surface: str) -> list[str]:
-    """Lower-case words without accents and look-alikes; digits inside words and rn, vv are read as the letters they look like."""
+    """Lower-case words without accents and look-alikes; digits among several letters are read as the letters they look like."""
     text = unicodedata.normalize("NFKC", surface).lower().translate(_FOLD)
     out = re.findall(r"[^\W_]+", re.sub(r"['’]s\b|['’]", "", text))
-    return [t.translate(_DIGITS).replace("rn", "m").replace("vv", "w") if re.search(r"[a-z]", t) else t for t in out]
+    return [t.translate(_DIGITS) if len(re.findall(r"[a-z]", t)) > 3 else t for t in out]
 
 
 def given(word: str) -> tuple[str, ...]:
@@ -124,8 +128,7 @@ def rewrite(surface: str) -> list[tuple[str, str, str, bool]]:
     legal = [w in LEGAL or _misspelt(w, _LEGAL_FORMS) is not None for w in words]
     if any(legal) and len(words) > 1:
         core = [w for w, x in zip(words, legal) if not x and w not in LINKERS]
-        ordered = not legal[0] and not (len(words) > 1 and words[0] != "the" and legal[0])
-        initials = "".join(w[0] for w in words if w not in LINKERS) if ordered else ""
+        initials = "" if legal[0] else "".join(w[0] for w in words if w not in LINKERS)
         return [("O", " ".join(sorted(core)), initials, True)] if core else []
     titled = any(w in TITLES for w in words[:2]) and len(words) > 1
     if "," in bare:
@@ -153,8 +156,6 @@ def rewrite(surface: str) -> list[tuple[str, str, str, bool]]:
     if len(words[0]) == 1:
         return [("I", full[-1], words[0], True)]
     first, last = full[0], full[-1]
-    if len(words[-1]) == 1 and len(full) == 1:
-        return [("I", first, words[-1], True)]
     if _known(last) and not _known(first):
         first, last = last, first
     out = [("P", last, "|".join(given(first)), titled or _known(first))]
@@ -164,13 +165,14 @@ def rewrite(surface: str) -> list[tuple[str, str, str, bool]]:
 
 
 def forms(kind: str, key: str, open_: str) -> set[str]:
-    """The forms of a key with one letter of one word left out."""
+    """The weaker forms of a key: one letter of one word left out, or look-alike letters made equal."""
+    alike_ = {f"L{kind}|{open_}|{folded(key)}"}
     if kind == "P":
-        return {f"P|{open_}|{s}" for s in shortened(key)}
+        return alike_ | {f"P|{open_}|{s}" for s in shortened(key)}
     parts = key.split(" ")
     if len(parts) < 2:
-        return {f"O||{key}"}
-    return {f"O|{' '.join(parts[:i] + parts[i + 1 :])}|{s}" for i, w in enumerate(parts) for s in shortened(w)}
+        return alike_ | {f"O||{key}"}
+    return alike_ | {f"O|{' '.join(parts[:i] + parts[i + 1 :])}|{s}" for i, w in enumerate(parts) for s in shortened(w)}
 
 
 def one_edit(kind: str, a: str, b: str) -> bool:
@@ -196,86 +198,83 @@ def main_type(observed: str | None, heuristic: str | None) -> str:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for name, surface, observed, heuristic, hint in batch.itertuples(index=False):
-            is_entity = name[0] == "e"
-            kind_of = main_type(observed, heuristic) if is_entity else "PERSON"
+        for name, surface, observed, heuristic in batch.itertuples(index=False):
+            kind_of = main_type(observed, heuristic) if name[0] == "e" else "PERSON"
             for kind, key, open_, sure in rewrite(surface or ""):
                 if kind_of in PEOPLE or kind_of in NOISE or sure:
-                    out.append((name, is_entity, None if hint is None or pd.isna(hint) else f"e{int(hint)}", kind, key, open_))
-        yield pd.DataFrame(out, columns=["name", "entity", "hint", "kind", "key", "open"])
+                    out.append((name, kind, key, open_))
+        yield pd.DataFrame(out, columns=["name", "kind", "key", "open"])
 
 
-_NAME = "name string, entity boolean, hint string, kind string, key string, open string"
+_NAME = "name string, kind string, key string, open string"
 
 
 def names_of(entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``name, surface, observed, heuristic, hint``: entities as e + id, candidates as g + candidate_id, each once.
+    """``name, surface, observed, heuristic``: entities as e + id, candidates as g + candidate_id, each once.
 
-    Null ids or surfaces give no name; of a candidate_id with several texts the smallest counts.
+    Null ids or surfaces give no name; of a candidate_id with several texts the smallest counts. What a candidate
+    was proposed for is not looked at.
     """
     e = entities.where("id IS NOT NULL AND surface IS NOT NULL").groupBy("id").agg(
         F.min("surface").alias("surface"), F.min("observed_types_json").alias("observed"), F.min("heuristic_type").alias("heuristic")
     )
-    g = candidates.where("candidate_id IS NOT NULL AND candidate IS NOT NULL").groupBy("candidate_id").agg(
-        F.min("candidate").alias("surface"), F.min("entity_id").alias("hint")
-    )
+    g = candidates.where("candidate_id IS NOT NULL AND candidate IS NOT NULL").groupBy("candidate_id").agg(F.min("candidate").alias("surface"))
     none = F.lit(None).cast("string")
-    return e.select(
-        F.concat(F.lit("e"), "id").alias("name"), "surface", "observed", "heuristic", F.lit(None).cast("long").alias("hint")
-    ).unionByName(g.select(F.concat(F.lit("g"), "candidate_id").alias("name"), "surface", none.alias("observed"), none.alias("heuristic"), "hint"))
+    return e.select(F.concat(F.lit("e"), "id").alias("name"), "surface", "observed", "heuristic").unionByName(
+        g.select(F.concat(F.lit("g"), "candidate_id").alias("name"), "surface", none.alias("observed"), none.alias("heuristic"))
+    )
 
 
 def _typos(nodes: DataFrame) -> DataFrame:
-    """``src, dst``: keys one edit apart of which one is rare against the other."""
+    """``src, dst``: keys that share a weaker form, of which one is rare against the other.
+
+    One edit apart, a key of one or two names is rare enough. Look-alike letters are weaker evidence: there the
+    other must have twice as many names.
+    """
 
     def spread(batches):
         for batch in batches:
-            out = [(n, k, key, o, c, f) for n, k, key, o, c in batch.itertuples(index=False) for f in forms(k, key, o)]
-            yield pd.DataFrame(out, columns=["node", "kind", "key", "open", "n_names", "form"])
+            out = [(n, k, key, c, f) for n, k, key, o, c in batch.itertuples(index=False) for f in forms(k, key, o)]
+            yield pd.DataFrame(out, columns=["node", "kind", "key", "n_names", "form"])
 
     def confirm(batches):
         for batch in batches:
-            keep = [one_edit(k, a, b) for k, a, b in zip(batch["kind"], batch["key"], batch["key2"])]
+            keep = [
+                (f[0] == "L" and high >= 2 * low) or (f[0] != "L" and one_edit(k, a, b))
+                for f, k, a, b, low, high in zip(batch["form"], batch["kind"], batch["key"], batch["key2"], batch["low"], batch["high"])
+            ]
             yield batch.loc[keep, ["src", "dst"]]
 
-    schema = "node long, kind string, key string, open string, n_names long, form string"
-    spreaded = nodes.select("node", "kind", "key", "open", "n_names").mapInPandas(spread, schema)
-    one = spreaded.select(F.col("node").alias("src"), "kind", "key", "n_names", "form")
-    two = spreaded.select(F.col("node").alias("dst"), F.col("key").alias("key2"), F.col("n_names").alias("n2"), "form")
-    rare = (F.least("n_names", "n2") <= 2) | (F.greatest("n_names", "n2") >= 3 * F.least("n_names", "n2"))
-    met = one.join(two, "form").where(F.col("src") < F.col("dst")).where(rare).select("src", "dst", "kind", "key", "key2").distinct()
-    return met.mapInPandas(confirm, "src long, dst long")
+    made = nodes.select("node", "kind", "key", "open", "n_names").mapInPandas(spread, "node long, kind string, key string, n_names long, form string")
+    made = cut(made, "forms")
+    met = made.groupBy("form").agg(F.count("*").alias("keys")).where("keys > 1").select("form")
+    one = made.join(met, "form", "left_semi").select(F.col("node").alias("src"), "kind", "key", "n_names", "form")
+    two = made.select(F.col("node").alias("dst"), F.col("key").alias("key2"), F.col("n_names").alias("n2"), "form")
+    low, high = F.least("n_names", "n2"), F.greatest("n_names", "n2")
+    pairs_ = one.join(two, "form").where(F.col("src") < F.col("dst")).select("src", "dst", "kind", "key", "key2", "form", low.alias("low"), high.alias("high"))
+    return pairs_.where("low <= 2 OR high >= 3 * low").mapInPandas(confirm, "src long, dst long").distinct()
 
 
-def _meant(marked: DataFrame) -> DataFrame:
-    """``src, dst``: keys of candidates, and of the entities they were proposed for, that differ by up to three edits.
+def _settle(open_names: DataFrame, made: DataFrame) -> DataFrame:
+    """``name, party``: where a name's forms come from parties, the party for which they are rare enough elsewhere.
 
-    What a candidate was proposed for says nothing by itself, but makes so close a spelling no coincidence.
+    ``open_names`` has name, asked, forms (all rewritings of what is ``asked``); ``made`` form, party, n, the names of
+    the party that make the form. The score of a party is minus the binary logarithm of the share of other parties' names
+    among those that make any of the forms; RARE or more links. Names that ask the same are settled
+    together, so a frequent surname costs no more.
     """
-    one = marked.where("hint IS NOT NULL").select("hint", "kind", "open", "key", F.col("node").alias("src"))
-    two = marked.where("entity").select(F.col("name").alias("hint"), "kind", "open", F.col("key").alias("key2"), F.col("node").alias("dst"))
-    near = F.levenshtein("key", "key2") <= F.least(F.lit(3), F.floor(F.length("key") / 4))
-    return one.join(two, ["hint", "kind", "open"]).where(near & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
-
+    asked = open_names.groupBy("asked").agg(F.first("forms").alias("forms")).select("asked", F.explode("forms").alias("form"))
+    per = made.groupBy("form", "party").agg(F.sum("n").alias("n"))
+    met = asked.join(per, "form").groupBy("asked", "party").agg(F.max("n").alias("n"))
+    best = met.groupBy("asked").agg(F.sum("n").alias("all"), F.max_by("party", F.struct("n", -F.col("party"))).alias("party"), F.max("n").alias("n"))
+    outside = (F.col("all") - F.col("n")) / F.col("all")
+    score = -F.log2(F.greatest(outside, F.lit(2.0**-30)))
+    return open_names.select("name", "asked").join(best.where(score >= RARE).select("asked", "party"), "asked").select("name", "party").distinct()
 
-def _settle(open_names: DataFrame, parties: DataFrame, hints: DataFrame, fits) -> DataFrame:
-    """``name, node`` for names that fit one party: the only one, else the one its entity is, else one far ahead.
 
-    ``open_names`` has name, hint, key, open; ``parties`` key, open, node, party, n_names, n_entities, one row
-    per canonical key. Rows of one (key, open) are settled together, so a frequent surname costs no more.
-    """
-    asked = open_names.select("key", F.col("open").alias("asked")).distinct()
-    met = asked.join(parties, "key").where(fits)
-    per = met.groupBy("key", "asked", "party").agg(
-        F.min_by("node", F.struct(-F.col("n_names"), "node")).alias("node"), F.sum("n_names").alias("n"), F.sum("n_entities").alias("e")
-    )
-    rank = Window.partitionBy("key", "asked").orderBy(F.desc(F.col("n") + 10 * F.col("e").cast("boolean").cast("int")), "party")
-    ranked = per.withColumn("score", F.col("n") + 10 * F.col("e").cast("boolean").cast("int")).withColumn("next", F.lead("score").over(rank)).withColumn("r", F.row_number().over(rank))
-    clear = ranked.where("r = 1 AND (next IS NULL OR score >= 3 * next)").select("key", "asked", F.col("node").alias("clear"))
-    rows = open_names.select("name", "hint", "key", F.col("open").alias("asked")).join(clear, ["key", "asked"], "left")
-    by_hint = rows.where("hint IS NOT NULL").join(hints, "hint").join(per.select("key", "asked", "party", F.col("node").alias("meant")), ["key", "asked", "party"])
-    meant = by_hint.groupBy("name").agg(F.min("meant").alias("meant"))
-    return rows.join(meant, "name", "left").select("name", F.coalesce("meant", "clear").alias("node")).where("node IS NOT NULL")
+def _number(*parts: Column) -> Column:
+    """A node for what the parts say, never negative."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 62) - 1))
 
 
 def parties(entities: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -287,73 +286,58 @@ def parties(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     parsed = cut(names_of(entities, candidates).mapInPandas(_parse, _NAME), "names")
     several = F.col("open").contains("|")
-    closed = parsed.where((F.col("kind") == "O") | ((F.col("kind") == "P") & ~several))
-    marked = closed.withColumn("open", F.when(F.col("kind") == "P", F.col("open")).otherwise(""))
-    node = F.xxhash64("kind", "key", "open").bitwiseAND(F.lit((1 << 62) - 1))
-    marked = marked.withColumn("node", node)
-    nodes = cut(
-        marked.groupBy("node", "kind", "key", "open").agg(F.count("*").alias("n_names"), F.count_if("entity").alias("n_entities")), "keys"
-    )
-    linked = connected_components(cut(_typos(nodes), "typos").unionByName(_meant(marked))).withColumnRenamed("component", "party")
+    marked = parsed.where((F.col("kind") == "O") | ((F.col("kind") == "P") & ~several))
+    marked = marked.withColumn("node", _number(F.col("kind"), F.col("key"), F.when(F.col("kind") == "P", F.col("open")).otherwise("")))
+    given_ = F.when(F.col("kind") == "P", F.col("open")).otherwise("")
+    nodes = cut(marked.groupBy("node", "kind", "key", given_.alias("open")).agg(F.count("*").alias("n_names")), "keys")
+    linked = connected_components(_typos(nodes)).withColumnRenamed("component", "party")
     known = cut(nodes.join(linked, "node", "left").withColumn("party", F.coalesce("party", "node")), "parties")
 
-    # A name read both ways goes where it meets another name.
+    # A name read both ways goes where it meets most names.
     sizes = known.groupBy("party").agg(F.sum("n_names").alias("met"))
-    placed = marked.select("name", "entity", "kind", "node").join(known.select("node", "party"), "node").join(sizes, "party")
-    first = placed.groupBy("name").agg(F.max_by("party", F.struct("met", (F.col("kind") == "P").cast("int"))).alias("party"))
-    first = cut(first, "first")
-    hints = first.select(F.col("name").alias("hint"), "party")
-    people = known.where("kind = 'P'").select("key", "open", "node", "party", "n_names", "n_entities")
-
-    # Initials and nicknames of several names, then bare surnames.
-    partly = parsed.where((F.col("kind") == "I") | ((F.col("kind") == "P") & several)).select("name", "hint", "key", "open", "entity")
-    fits = F.expr("open LIKE concat(asked, '%') AND length(asked) = 1 OR array_contains(split(asked, '[|]'), open)")
-    settled = cut(_settle(partly, people, hints, fits), "partly")
-    left = cut(partly.join(settled.select("name"), "name", "left_anti"), "left")
-    own = F.xxhash64(F.lit("I"), "key", "open").bitwiseAND(F.lit((1 << 62) - 1))
-    alone = left.groupBy("key", "open").agg(F.count("*").alias("n_names"), F.count_if("entity").alias("n_entities")).withColumn("node", own)
-    alone = cut(alone.select("key", "open", "node", F.col("node").alias("party"), "n_names", "n_entities"), "alone")
-    bare = parsed.where("kind = 'S'").select("name", "hint", "key", "open")
-    surnames = people.unionByName(alone)
-    by_surname = cut(_settle(bare, surnames, hints, F.lit(True)), "bare")
-
-    # A bare or partly open name with a misspelt surname that no full name has.
-    lost = cut(partly.select("name", "hint", "key", "open").unionByName(bare).join(settled.unionByName(by_surname).select("name"), "name", "left_anti"), "lost")
-    near = cut(_near_surnames(lost, people), "near")
-    by_typo = _settle(lost.join(near, "key").select("name", "hint", F.col("right").alias("key"), "open"), people, hints, F.expr(
-        "asked = '' OR open LIKE concat(asked, '%') AND length(asked) = 1 OR array_contains(split(asked, '[|]'), open)"
-    ))
-    by_typo = cut(by_typo, "by-typo")
-
-    # Acronyms.
-    spelled = parsed.where("kind = 'O' AND open <> ''").select("open", F.xxhash64("kind", "key", F.lit("")).bitwiseAND(F.lit((1 << 62) - 1)).alias("node"))
-    orgs = spelled.groupBy("open", "node").count().join(known.select("node", "party", "n_names", "n_entities"), "node")
-    orgs = orgs.select(F.col("open").alias("key"), F.lit("").alias("open"), "node", "party", "n_names", "n_entities")
-    short = parsed.where("kind = 'A'").select("name", "hint", "key", "open")
-    by_letters = cut(_settle(short, cut(orgs, "spelled"), hints, F.lit(True)), "by-letters")
-
-    unsettled = left.join(by_typo.select("name"), "name", "left_anti").select("name", own.alias("node"))
-    to_party = known.select("node", "party").unionByName(alone.select("node", "party"))
-    later = settled.unionByName(by_surname).unionByName(by_typo).unionByName(by_letters).unionByName(unsettled).join(to_party, "node").select("name", "party")
-    later = cut(later, "later")
-    both = later.withColumn("late", F.lit(1)).unionByName(first.withColumn("late", F.lit(0)))
-    return both.groupBy("name").agg(F.min_by("party", F.struct("late", "party")).alias("party"))
-
-
-def _near_surnames(lost: DataFrame, people: DataFrame) -> DataFrame:
-    """``key, right``: surnames without a full name, and those one edit away that have one."""
+    placed = marked.select("name", "kind", "node").join(known.select("node", "party"), "node").join(sizes, "party")
+    first = placed.groupBy("name").agg(F.max_by("party", F.struct("met", (F.col("kind") == "P").cast("int"), -F.col("party"))).alias("party"))
+
+    # The forms that full names make: given name and initial with the surname, acronyms; then bare surnames.
+    people = known.where("kind = 'P'")
+    made = people.select(
+        F.explode(F.array(F.concat_ws("|", F.lit("P"), "open", "key"), F.concat_ws("|", F.lit("I"), F.substring("open", 1, 1), "key"))).alias("form"),
+        "party", F.col("n_names").alias("n"),
+    )
+    spelled = marked.where("kind = 'O' AND open <> ''").groupBy("node", "open").agg(F.count("*").alias("n")).join(known.select("node", "party"), "node")
+    made = made.unionByName(spelled.select(F.concat(F.lit("A|"), "open").alias("form"), "party", "n"))
+    partly = parsed.where((F.col("kind").isin("I", "A")) | ((F.col("kind") == "P") & several))
+    forms_ = F.when(F.col("kind") == "A", F.array(F.concat(F.lit("A|"), "key"))).when(F.col("kind") == "I", F.array(F.concat_ws("|", F.lit("I"), "open", "key"))).otherwise(
+        F.transform(F.split("open", "[|]"), lambda x: F.concat_ws("|", F.lit("P"), x, F.col("key")))
+    )
+    settled = cut(_settle(partly.select("name", F.concat_ws("|", "kind", "key", "open").alias("asked"), forms_.alias("forms")), made), "settled")
 
-    def spread(batches):
-        for batch in batches:
-            yield pd.DataFrame([(k, f) for k in batch["key"] for f in shortened(k)], columns=["key", "form"])
+    # Open names that met none are parties of their own, and make surnames too.
+    left = partly.where("kind <> 'A'").join(settled, "name", "left_anti").select("name", "kind", "key", "open", _number(F.lit("I"), F.col("key"), F.col("open")).alias("party"))
+    left = cut(left, "left")
+    surnames = people.select("key", "party", F.col("n_names").alias("n")).unionByName(left.groupBy("key", "party").agg(F.count("*").alias("n")))
+    bare = parsed.where("kind = 'S'").select("name", "key")
+    exact = cut(_settle(bare.select("name", F.col("key").alias("asked"), F.array("key").alias("forms")), surnames.withColumnRenamed("key", "form")), "by-surname")
 
-    def confirm(batches):
+    # A misspelt surname that no full name has, bare or with an initial, by the forms with a letter left out.
+    def shorter(batches):
         for batch in batches:
-            yield batch.loc[[a != b and alike(a, b) for a, b in zip(batch["key"], batch["right"])]]
-
-    mine = lost.select("key").distinct().mapInPandas(spread, "key string, form string")
-    theirs = people.select("key").distinct().mapInPandas(spread, "key string, form string").withColumnRenamed("key", "right")
-    return mine.join(theirs, "form").select("key", "right").distinct().mapInPandas(confirm, "key string, right string")
+            yield pd.DataFrame({"key": batch["key"], "short": [sorted(shortened(k)) for k in batch["key"]]})
+
+    keys = people.select("key").distinct()
+    lost = bare.select("name", "key", F.lit("").alias("initial")).unionByName(left.where("kind = 'I'").select("name", "key", F.col("open").alias("initial")))
+    lost = lost.join(exact, "name", "left_anti").join(keys, "key", "left_anti")
+    lost = lost.join(lost.select("key").distinct().mapInPandas(shorter, "key string, short array<string>"), "key")
+    forms_ = F.transform("short", lambda x: F.concat_ws("|", F.col("initial"), x))
+    theirs = people.join(keys.mapInPandas(shorter, "key string, short array<string>"), "key").select("open", F.explode("short").alias("short"), "party", F.col("n_names").alias("n"))
+    theirs = theirs.select(F.explode(F.array(F.lit(""), F.substring("open", 1, 1))).alias("initial"), "short", "party", "n")
+    by_typo = _settle(lost.select("name", F.concat_ws("|", "initial", "key").alias("asked"), forms_.alias("forms")), theirs.select(F.concat_ws("|", "initial", "short").alias("form"), "party", "n"))
+    steps = (first, settled, exact, by_typo, left.select("name", "party"))
+    ranked = [df.select("name", "party", F.lit(k).alias("step")) for k, df in enumerate(steps)]
+    found = ranked[0]
+    for df in ranked[1:]:
+        found = found.unionByName(df)
+    return found.groupBy("name").agg(F.min_by("party", F.struct("step", "party")).alias("party"))
 
 
 def pairs(found: DataFrame) -> DataFrame:

@@ -360,3 +360,20 @@ def test_parties_link_variants_and_keep_others_apart(spark):
         groups[r["party"]].add(r["name"])
     assert {frozenset(x) for x in groups.values() if len(x) > 1} == {frozenset({"e0", "e1", "e2", "e3", "e4", "e5"}), frozenset({"e7", "e8", "g1", "g3"})}
     assert names.pairs(names.parties(e.limit(0), g.limit(0))).count() == 0
+
+
+def test_look_alike_letters_need_other_evidence(spark):
+    people = ["John Kern", "John Kem", "3M Company", "Em Company", "Vera Bramdolt", "V. Bramdolt", "Ms. Bramdolt", "Vera Brarndolt", "Vera Bramd0lt"]
+    e = spark.createDataFrame([(i, s, "proper_name", "ORG" if "Comp" in s else "PERSON", None, 1) for i, s in enumerate(people)] + [(20, "Vera Bramdolt", "x", "PERSON", None, 1)], ENTITY)
+    g = spark.createDataFrame([(1, "Vera Bramdolt", 0)], "candidate_id long, candidate string, entity_id long")
+    groups = collections.defaultdict(set)
+    for r in names.parties(e, g).collect():
+        groups[r["party"]].add(r["name"])
+    assert {frozenset(x) for x in groups.values() if len(x) > 1} == {frozenset({"e4", "e5", "e6", "e7", "e8", "e20", "g1"})}
+
+
+def test_a_form_that_several_parties_make_links_none(spark):
+    people = ["Ted Brandolsk", "Edward Brandolsk", "Theodore Brandolsk", "Mr. Brandolsk", "Ted Karsund", "Edward Karsund"]
+    e = spark.createDataFrame([(i, s, "proper_name", "PERSON", None, 1) for i, s in enumerate(people)], ENTITY)
+    got = {tuple(r) for r in names.pairs(names.parties(e, spark.createDataFrame([], "candidate_id long, candidate string, entity_id long"))).collect()}
+    assert got == {("e4", "e5")}
