@@ -236,6 +236,10 @@ def stretches(matched: DataFrame) -> DataFrame:
     short for the other. Then every stretch is aligned that has a rare seed or some seeds in a row.
     """
     rows = matched.withColumn("d", F.col("at") - F.col("place"))
+    # Before any row moves: without two rare seeds, half of the seeds in a row lie in one of two neighbouring bands.
+    bands = rows.groupBy("doc", "item", F.floor(F.col("d") / (SLACK + 1)).alias("b")).agg(F.count_if("rare").alias("r"), F.count("*").alias("c"))
+    likely = cut(bands.groupBy("doc", "item").agg(F.sum("r").alias("r"), F.max("c").alias("c")).where("r >= 2 OR c >= 4").select("doc", "item"), "likely")
+    rows = join_by_size(rows, likely, ["doc", "item"], "left_semi")
     both = Window.partitionBy("doc", "item")
     band = both.orderBy("d").rangeBetween(0, SLACK)
     rows = rows.withColumn("row", F.size(F.collect_set("place").over(band))).withColumn("scarce", F.size(F.collect_set(F.when(F.col("rare"), F.col("place"))).over(both)))
