@@ -61,6 +61,7 @@ for _name, _short in NICKNAMES.items():
     for _x in (_name, *_short.split()):
         _FORMAL[_x] = (*_FORMAL.get(_x, ()), _name)
 _DIGITS = str.maketrans("0135", "oles")
+LONG = 9  # letters of a surname in which two edits leave it recognisable
 RARE = 2.0  # bits: at most a quarter of the names that make a form are of other parties
 
 
@@ -164,11 +165,25 @@ def rewrite(surface: str) -> list[tuple[str, str, str, bool]]:
     return out
 
 
+def within_two(a: str, b: str) -> bool:
+    """At most two edits (a letter put in, left out or changed, or two neighbours swapped) lie between the words."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    swapped = x[1:2] + x[:1] + x[2:] if len(x) > 1 else x
+    return any(p == q or alike(p, q) for p, q in ((x, y[1:]), (x[1:], y), (x[1:], y[1:]), (swapped, y), (x, y)))
+
+
 def forms(kind: str, key: str, open_: str) -> set[str]:
-    """The weaker forms of a key: one letter of one word left out, or look-alike letters made equal."""
+    """The weaker forms of a key: one letter of one word left out, two of a long surname, or look-alike letters made equal."""
     alike_ = {f"L{kind}|{open_}|{folded(key)}"}
     if kind == "P":
-        return alike_ | {f"P|{open_}|{s}" for s in shortened(key)}
+        once = shortened(key)
+        twice = {f"D|{open_}|{w[:i] + w[i + 1 :]}" for w in once for i in range(len(w))} if len(key) >= LONG else set()
+        return alike_ | twice | {f"{k}|{open_}|{s}" for s in once for k in ("PD" if len(key) >= LONG else "P")}
     parts = key.split(" ")
     if len(parts) < 2:
         return alike_ | {f"O||{key}"}
@@ -228,8 +243,8 @@ def names_of(entities: DataFrame, candidates: DataFrame) -> DataFrame:
 def _typos(nodes: DataFrame) -> DataFrame:
     """``src, dst``: keys that share a weaker form, of which one is rare against the other.
 
-    One edit apart, a key of one or two names is rare enough. Look-alike letters are weaker evidence: there the
-    other must have twice as many names.
+    One edit apart, a key of one or two names is rare enough. Two edits of a long surname and look-alike letters are
+    weaker evidence: there the other must have twice as many names.
     """
 
     def spread(batches):
@@ -240,7 +255,7 @@ def _typos(nodes: DataFrame) -> DataFrame:
     def confirm(batches):
         for batch in batches:
             keep = [
-                (f[0] == "L" and high >= 2 * low) or (f[0] != "L" and one_edit(k, a, b))
+                high >= 2 * low and (f[0] == "L" or within_two(a, b)) if f[0] in "LD" else one_edit(k, a, b)
                 for f, k, a, b, low, high in zip(batch["form"], batch["kind"], batch["key"], batch["key2"], batch["low"], batch["high"])
             ]
             yield batch.loc[keep, ["src", "dst"]]
