@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SET = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,16 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
-    Nothing needs the shuffle files behind it any more; Spark deletes them when the driver collects the
-    plans that held them, which is asked for here so that the next step has the disk to itself. The
+    Nothing needs the shuffle files behind it any more, so Spark deletes them when the write ends. The
     tables of an application lie in a folder of its name, which can go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/maskloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    spark.sparkContext._jvm.System.gc()
     return out
 
 

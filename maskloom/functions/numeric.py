@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rules import MONTHS
 
+# Fixed value: the pattern of a number.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 
 
@@ -29,40 +30,6 @@ def with_commas(digits: Column) -> Column:
     return F.reverse(F.regexp_replace(F.reverse(digits), r"(\d{3})(?=\d)", "$1,"))
 
 
-def _write(x: Column, raw: Column, value: Column) -> Column:
-    text = value.cast("long").cast("string")
-    text = F.when(raw.contains(","), with_commas(text)).otherwise(text)
-    at = F.position(raw, x)
-    return F.concat(F.substring(x, F.lit(1), at - 1), text, F.substring(x, at + F.length(raw), F.length(x)))
-
-
-def perturbed_integers(x: Column) -> Column:
-    """Changed values of a surface whose first number is whole: 0 to 1 and 10; years by one; others by a tenth, at least 1."""
-    raw, value = first_number(x), number_value(x)
-    step = F.greatest(F.lit(1), F.bround(value * F.lit(0.1).cast("decimal(2,1)"), 0)).cast("decimal(38,0)")
-    year = value.between(1900, 2100)
-    up = F.when(value == 0, 1).when(year, value + 1).otherwise(value + step)
-    down = F.when(value == 0, 10).when(year, value - 1).otherwise(F.greatest(F.lit(0), value - step))
-    order = F.when(year, F.array(down, up)).otherwise(F.array(up, down))
-    written = F.transform(order, lambda v: _write(x, raw, v))
-    whole = raw.isNotNull() & ~raw.contains(".")
-    return F.when(whole, F.array_distinct(F.filter(written, lambda v: v != x))).otherwise(F.array().cast("array<string>"))
-
-
-def equivalents(x: Column) -> Column:
-    """Ways to write the same number: without commas, percent for %, % for percent, the currency as a word."""
-    raw = first_number(x)
-    tried = F.array_compact(F.array(
-        F.when(raw.contains(","), F.replace(x, raw, F.regexp_replace(raw, ",", ""))),
-        F.when(x.contains("%"), F.regexp_replace(x, r"\s*%", " percent")),
-        F.when(x.rlike(r"\d percent$"), F.regexp_replace(x, r" percent$", "%")),
-        F.when(x.rlike(r"^\$\d[\d,.]*$"), F.concat(F.regexp_replace(x, r"\$", ""), F.lit(" dollars"))),
-        F.when(x.rlike(r"^€\d[\d,.]*$"), F.concat(F.regexp_replace(x, "€", ""), F.lit(" euros"))),
-        F.when(x.rlike(r"^\d[\d,.]* euros$"), F.concat(F.lit("€"), F.regexp_replace(x, " euros", ""))),
-    ))
-    return F.array_distinct(F.filter(tried, lambda v: v != x))
-
-
 def swapped_currency(x: Column) -> Column:
     """The same amount in another currency: a changed value."""
     return F.when(x.contains("$"), F.replace(x, F.lit("$"), F.lit("€"))).when(x.contains("€"), F.replace(x, F.lit("€"), F.lit("$"))).when(x.contains("£"), F.replace(x, F.lit("£"), F.lit("$")))

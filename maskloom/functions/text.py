@@ -135,10 +135,64 @@ def replace_nth(x: Column, needle: Column, n: Column, value: Column) -> Column:
 
 
 def differing_span(a: Column, b: Column) -> Column:
-    """Struct ``left, right``: what remains of two texts without their common prefix and suffix."""
+    """Struct ``left, right``: what remains of two texts without their common prefix and suffix; linear in their length."""
     n = F.least(F.length(a), F.length(b))
-    same = F.sequence(F.lit(0), n)
-    prefix = F.array_max(F.filter(same, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
-    ra, rb = F.reverse(a), F.reverse(b)
-    suffix = F.array_max(F.filter(same, lambda k: (k <= n - prefix) & (F.substring(ra, F.lit(1), k) == F.substring(rb, F.lit(1), k))))
+
+    def agreeing(x: Column, y: Column, most: Column) -> Column:
+        """How many letters at the beginning are the same, at most ``most``."""
+        same = F.zip_with(F.slice(F.split(x, ""), F.lit(1), most), F.slice(F.split(y, ""), F.lit(1), most), lambda p, q: p == q)
+        at = F.array_position(same, F.lit(False))
+        return F.when(at > 0, (at - 1).cast("int")).otherwise(most)
+
+    prefix = agreeing(a, b, n)
+    suffix = agreeing(F.reverse(a), F.reverse(b), n - prefix)
     return F.struct(F.substring(a, prefix + 1, F.length(a) - prefix - suffix).alias("left"), F.substring(b, prefix + 1, F.length(b) - prefix - suffix).alias("right"))
+
+
+def matching_occurrence(x: Column, needle: Column, value: Column, target: Column) -> Column:
+    """The first exact occurrence replaced with which the text becomes ``target`` (by ``norm_key``); null if none does."""
+    parts = F.split(x, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    want = norm_key(target)
+
+    def filled(i: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.when(k == i, value).when(k < F.size(parts) - 1, needle).otherwise(""))), "")
+
+    tried = F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>")), filled)
+    found = F.get(F.filter(tried, lambda t: norm_key(t) == want), F.lit(0))
+    return F.when(needle != "", found)
+
+
+def window_around(x: Column, needle: Column, size: Column) -> Column:
+    """``size`` characters with the first occurrence of ``needle`` in the middle; the beginning without one."""
+    at = F.position(F.lower(needle), F.lower(x))
+    begin = F.greatest(F.lit(1), F.least(at + F.floor(F.length(needle) / 2).cast("int") - F.floor(size / 2).cast("int"), F.length(x) - size + 1))
+    return F.when(at > 0, F.substring(x, begin, size)).otherwise(F.substring(x, F.lit(1), size))
+
+
+def crop_span(x: Column, begin: Column, end: Column, window: int) -> Column:
+    """Struct ``text, begin, end``: the span (from 0, end exclusive) with ``window`` characters on both sides, and where it lies there."""
+    low = F.greatest(F.lit(0), begin - window)
+    return F.struct(F.substring(x, low + 1, end + window - low).alias("text"), (begin - low).alias("begin"), (end - low).alias("end"))
+
+
+def clip(x: Column, most: int) -> Column:
+    """At most ``most`` characters."""
+    return F.substring(x, F.lit(1), F.lit(most))
+
+
+def token_budget(x: Column, needle: Column, budget: Column) -> Column:
+    """The words around the bracketed ``needle``, at most ``budget`` in all with the span; the first words if it does not fit or is not there."""
+    marked = mark_first(x, needle)
+    at = F.position(F.lit("["), marked)
+    words_of = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    left = words_of(F.substring(marked, F.lit(1), at - 1))
+    close = F.position(F.lit("]"), marked)
+    span = words_of(F.substring(marked, at, close - at + 1))
+    right = words_of(F.substring(marked, close + 1, F.length(marked)))
+    room = budget - F.size(span)
+    before = F.least(F.size(left), F.greatest(F.floor(room / 2).cast("int"), room - F.size(right)))
+    after = F.least(F.size(right), room - before)
+    tail = F.when(before > 0, F.slice(left, F.size(left) - before + 1, before)).otherwise(F.array().cast("array<string>"))
+    head = F.slice(right, F.lit(1), after)
+    fits = marked.isNotNull() & (marked != x) & (at > 0) & (room >= 0)
+    return F.array_join(F.when(fits, F.concat(tail, span, head)).otherwise(F.slice(words_of(x), F.lit(1), budget)), " ")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions import variants as V
+from ..functions.aliases import alias_candidates, index, resource
 from .cleaning import same_type_negatives
 from .inventory import top_per_group
+from .skew import lookup
 
 # Suffixes of plural forms, longest first, and what replaces each.
 PLURALS = {"ies": "y", "ves": "f", "ches": "ch", "shes": "sh", "ses": "s", "xes": "x", "zes": "z", "s": ""}
@@ -50,36 +53,48 @@ def synonyms(words: DataFrame, word: str, spark: SparkSession) -> DataFrame:
 
 
 def rule_pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """``mention_id, candidate, pair_kind, label``: identity, surface, numeric and same-type pairs of every mention.
+    """``mention_id, candidate, pair_kind, label``: identity, surface, alias, numeric and same-type pairs of every mention.
 
     Variants are computed once per entity and then joined to its mentions; repeated (mention, candidate key,
-    label) keep the first kind in the order below.
+    label) keep the first kind in the order below. Aliases that depend on the context have no label: they are for review.
     """
     s = F.col("surface")
+    numeric = F.concat(V.perturbed(s), F.array_compact(F.array(N.next_month(s))))
     kinds = F.array(
         F.struct(F.lit(0).alias("o"), F.lit("positive_identity").alias("k"), F.lit(1).alias("label"), F.array(s).alias("v")),
         F.struct(F.lit(1).alias("o"), F.lit("positive_surface").alias("k"), F.lit(1).alias("label"), T.surface_variants(s).alias("v")),
-        F.struct(F.lit(2).alias("o"), F.lit("positive_numeric_format").alias("k"), F.lit(1).alias("label"), N.equivalents(s).alias("v")),
-        F.struct(F.lit(3).alias("o"), F.lit("negative_numeric").alias("k"), F.lit(0).alias("label"), F.slice(N.perturbed_integers(s), 1, 3).alias("v")),
+        F.struct(F.lit(2).alias("o"), F.lit("positive_alias").alias("k"), F.lit(1).alias("label"), F.slice("strict", 1, 4).alias("v")),
+        F.struct(F.lit(3).alias("o"), F.lit("context_sensitive_alias_candidate").alias("k"), F.lit(None).cast("int").alias("label"), F.slice("review", 1, 3).alias("v")),
+        F.struct(F.lit(4).alias("o"), F.lit("negative_numeric_or_date_perturbation").alias("k"), F.lit(0).alias("label"), F.slice(numeric, 1, 3).alias("v")),
     )
-    per_entity = entities.select(F.col("id").alias("entity_id"), F.explode(kinds).alias("x")).select("entity_id", "x.o", "x.k", "x.label", F.explode("x.v").alias("candidate"))
+    named = alias_candidates(entities.select("id", "surface"), s, index(resource(entities.sparkSession)))
+    per_entity = named.select(F.col("id").alias("entity_id"), F.explode(kinds).alias("x")).select("entity_id", "x.o", "x.k", "x.label", F.explode("x.v").alias("candidate"))
     distinct = per_entity.groupBy("entity_id", T.norm_key(F.col("candidate")).alias("key"), "label").agg(F.min(F.struct("o", "k", "candidate")).alias("y"))
+    # One row per entity, so that joining the mentions, however many an entity has, moves each mention once.
+    lists = distinct.groupBy("entity_id").agg(F.collect_list(F.struct("y.candidate", F.col("y.k").alias("pair_kind"), "label")).alias("rules"))
     facts = mentions.select(F.col("id").alias("mention_id"), "entity_id").distinct()
-    rules = facts.join(distinct.select("entity_id", "y.candidate", F.col("y.k").alias("pair_kind"), "label"), "entity_id").drop("entity_id")
+    per = facts.groupBy("entity_id").agg(F.count("*").alias("n_mentions"))
+    rules = lookup(facts, lists.join(per, "entity_id"), "entity_id", "n_mentions").select("mention_id", F.inline("rules"))
     negatives = same_type_negatives(mentions, entities).select(F.col("id").alias("mention_id"), "candidate", F.lit("negative_same_type").alias("pair_kind"), F.lit(0).alias("label"))
     return rules.unionByName(negatives)
 
 
+# Types of numeric surfaces.
+NUMERIC_TYPES = ("DATE", "TIME", "CARDINAL", "ORDINAL", "MONEY", "PERCENT", "QUANTITY")
+
+
 def numeric_pairs(entities: DataFrame, mentions: DataFrame, equivalents: int = 1, changed: int = 2) -> DataFrame:
     """``mention_id, candidate, kind``: for mentions of numeric entities a few equivalent and a few changed values."""
-    numeric = entities.where("heuristic_group = 'numeric'")
-    s = F.col("surface")
-    both = F.array(
-        F.struct(F.lit("numeric_equivalent_format").alias("kind"), F.slice(N.equivalents(s), 1, equivalents).alias("v")),
-        F.struct(F.lit("numeric_close_changed").alias("kind"), F.slice(N.perturbed_integers(s), 1, changed).alias("v")),
+    numeric = entities.where(F.col("heuristic_group").eqNullSafe("numeric") & F.col("heuristic_type").isin(*NUMERIC_TYPES))
+    s, t = F.col("surface"), F.col("heuristic_type")
+    both = F.concat(
+        F.transform(F.slice(V.equivalents(s, t), 1, equivalents), lambda v: F.struct(v.alias("candidate"), F.lit("numeric_equivalent_format").alias("kind"))),
+        F.transform(F.slice(V.changed(s, t), 1, changed), lambda v: F.struct(v.alias("candidate"), F.lit("numeric_close_changed").alias("kind"))),
     )
-    per = numeric.select(F.col("id").alias("entity_id"), F.explode(both).alias("x")).select("entity_id", "x.kind", F.explode("x.v").alias("candidate"))
-    return mentions.select(F.col("id").alias("mention_id"), "entity_id").distinct().join(per, "entity_id").select("mention_id", "candidate", "kind")
+    facts = mentions.select(F.col("id").alias("mention_id"), "entity_id").distinct()
+    per = facts.groupBy("entity_id").agg(F.count("*").alias("n_mentions"))
+    made = numeric.select(F.col("id").alias("entity_id"), both.alias("made")).join(per, "entity_id")
+    return lookup(facts, made, "entity_id", "n_mentions").select("mention_id", F.inline("made"))
 
 
 def proper_pool(entities: DataFrame, per_entity: int = 3, least: float = 0.18) -> DataFrame:

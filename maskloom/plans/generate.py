@@ -46,8 +46,13 @@ def f14_morphology(spark, folder):
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "gjf" and k[1:3].isdigit()}
 
 from .inventory import SQL as _I  # noqa: E402
+from . import variants as _X  # noqa: E402
+from ..functions import rules as _R  # noqa: E402
 from .quality import SQL as _Q  # noqa: E402
 
+_TYPED = "(SELECT * FROM entities WHERE heuristic_group = 'numeric' AND heuristic_type IN (" + ", ".join(f"'{t}'" for t in G.NUMERIC_TYPES) + "))"
+_MONTH = "CASE " + " ".join(f"WHEN contains(lower(surface), '{a}') THEN regexp_replace(surface, '(?i){a}', '{b.capitalize()}', 'g')" for a, b in zip(_R.MONTHS, _R.MONTHS[1:] + _R.MONTHS[:1])) + " END"
+
 _LEX = "lex(word, sense) AS (VALUES " + ", ".join(f"('{w}', '{s}')" for s, ws in G.SENSES.items() for w in ws.split()) + ")"
 _SYN = "SELECT a.word, b.word AS candidate, count(DISTINCT a.sense) AS n_senses FROM w JOIN lex a ON a.word = w.word JOIN lex b ON b.sense = a.sense AND b.word <> a.word GROUP BY ALL"
 _KEY = r"regexp_replace(lower(trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))), '[^\p{{L}}\p{{N}}_%$£€]+', '', 'g')"
@@ -57,18 +62,20 @@ _MORPH = "CASE " + " ".join(
 _TEMPORAL = "['" + "','".join("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday today yesterday tomorrow week year".split()) + "']"
 
 SQL = {
-    "g02_augment": f"""WITH per AS (
+    "g02_augment": f"""WITH {_X._INDEX}, per AS (
           SELECT id AS entity_id, 0 AS o, 'positive_identity' AS k, 1 AS label, surface AS c FROM entities UNION ALL SELECT id, 1, 'positive_surface', 1, variant FROM ({_I['t24_surface_variants']})
-          UNION ALL SELECT id, 2, 'positive_numeric_format', 1, unnest(string_split(variants, '|')) FROM ({_I['n04_equivalent'].replace("WHERE heuristic_group = 'numeric'", "")}) WHERE variants <> ''
-          UNION ALL SELECT id, 3, 'negative_numeric', 0, unnest(string_split(variants, '|')) FROM ({_I['n01_perturb'].replace("WHERE heuristic_group = 'numeric'", "")}) WHERE variants <> ''),
+          UNION ALL SELECT e.id, 2, 'positive_alias', 1, unnest(({_X._kept('strict')})[1:4]) FROM entities e JOIN i ON i.key = {_KEY.format(x='surface')}
+          UNION ALL SELECT e.id, 3, 'context_sensitive_alias_candidate', NULL, unnest(({_X._kept('review')})[1:3]) FROM entities e JOIN i ON i.key = {_KEY.format(x='surface')}
+          UNION ALL SELECT id, 4, 'negative_numeric_or_date_perturbation', 0, unnest(v[1:3]) FROM (SELECT id, list_concat(CASE WHEN coalesce(variants, '') = '' THEN [] ELSE string_split(variants, '|') END, CASE WHEN month IS NULL THEN [] ELSE [month] END) AS v
+            FROM ({_X.PERTURBED.replace("{source}", "entities")} SELECT z.id, variants, {_MONTH} AS month FROM z JOIN entities USING (id)))),
         d AS (SELECT *, row_number() OVER (PARTITION BY entity_id, {_KEY.format(x='c')}, label ORDER BY o, k, c) AS r FROM per), f AS (SELECT DISTINCT id, entity_id FROM mentions)
         SELECT k AS pair_kind, CAST(label AS BIGINT) AS label, count(*) AS n FROM f JOIN d USING (entity_id) WHERE r = 1 GROUP BY ALL
         UNION ALL SELECT 'negative_same_type', 0, count(*) FROM ({_Q['j06_same_type_negative']})""",
-    "g07_numeric": f"""WITH v AS (SELECT id, 'numeric_equivalent_format' AS kind, unnest((string_split(variants, '|'))[1:1]) AS candidate FROM ({_I['n04_equivalent']}) WHERE variants <> ''
-          UNION ALL SELECT id, 'numeric_close_changed', unnest((string_split(variants, '|'))[1:2]) FROM ({_I['n01_perturb']}) WHERE variants <> '')
+    "g07_numeric": f"""WITH v AS (SELECT id, 'numeric_equivalent_format' AS kind, unnest((string_split(variants, '|'))[1:1]) AS candidate FROM ({_X.EQUIVALENT.replace("{source}", _TYPED)} SELECT * FROM z) WHERE variants <> ''
+          UNION ALL SELECT id, 'numeric_close_changed', unnest((string_split(variants, '|'))[1:2]) FROM ({_X.CHANGED.replace("{source}", _TYPED)} SELECT * FROM z) WHERE variants <> '')
         SELECT m.id AS mention_id, candidate, kind FROM (SELECT DISTINCT id, entity_id FROM mentions) m JOIN v ON v.id = m.entity_id""",
     "g08_proper_pool": r"""WITH e AS (SELECT id, heuristic_type AS t, list_distinct(regexp_extract_all(lower(surface), '[\p{L}\p{N}]+')) AS w FROM entities WHERE heuristic_group = 'proper_name'),
-        x AS (SELECT id, t, w, unnest(w) AS word FROM e), r AS (SELECT t, word FROM x GROUP BY ALL HAVING count(*) > 1 AND count(*) <= greatest(20, (SELECT count(*) FROM e) // 1000)), k AS (SELECT x.* FROM x JOIN r ON x.t = r.t AND x.word = r.word),
+        x AS (SELECT id, t, w, unnest(w) AS word FROM e), k AS (SELECT * FROM x),
         p AS (SELECT DISTINCT a.id AS entity_id, b.id AS candidate_id, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS score FROM k a JOIN k b ON a.t = b.t AND a.word = b.word AND a.id <> b.id),
         o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, candidate_id) AS rank FROM p WHERE score >= 0.18) SELECT * FROM o WHERE rank <= 3""",
     "j13_synonyms": f"WITH {_LEX}, w AS (SELECT DISTINCT lower(surface) AS word FROM entities) {_SYN}",

@@ -152,18 +152,8 @@ def t30_ids(spark, folder):
     return e.select("id", T.stable_id(16, T.norm_key(F.col("surface"))).alias("entity_hash"), T.stable_id(20, F.col("surface_key"), F.col("heuristic_type")).alias("row_hash"))
 
 
-def n01_perturb(spark, folder):
-    e = table(spark, folder, "entities").where("heuristic_group = 'numeric'")
-    return e.select("id", F.array_join(N.perturbed_integers(F.col("surface")), "|").alias("variants"))
-
-
-def n04_equivalent(spark, folder):
-    e = table(spark, folder, "entities").where("heuristic_group = 'numeric'")
-    return e.select("id", F.array_join(N.equivalents(F.col("surface")), "|").alias("variants"))
-
-
 def n03_months(spark, folder):
-    t = table(spark, folder, "texts").select("id", F.substring("title", 1, 200).alias("title"))
+    t = table(spark, folder, "texts").select("id", "title")
     e = table(spark, folder, "entities").select("id", F.col("surface").alias("title"))
     rows = t.unionByName(e).withColumn("variant", N.next_month(F.col("title")))
     return rows.where("variant IS NOT NULL").select("id", "title", "variant")
@@ -295,21 +285,7 @@ SQL = {
     "t30_ids": r"""
         SELECT id, substring(sha1(regexp_replace(lower(trim(regexp_replace(surface, '[\s\x{00A0}]+', ' ', 'g'))), '[^\p{L}\p{N}_%$£€]+', '', 'g')), 1, 16) AS entity_hash,
           substring(sha1(coalesce(surface_key, 'None') || chr(31) || coalesce(heuristic_type, 'None')), 1, 20) AS row_hash FROM entities""",
-    "n01_perturb": r"""
-        WITH b AS (SELECT id, surface AS s, regexp_extract(surface, '\d[\d,]*(?:\.\d+)?') AS raw FROM entities WHERE heuristic_group = 'numeric'),
-        v AS (SELECT *, TRY_CAST(replace(raw, ',', '') AS HUGEINT) AS n FROM b),
-        d AS (SELECT *, greatest(1, CASE WHEN n % 10 = 5 THEN n // 10 + (n // 10) % 2 WHEN n % 10 > 5 THEN n // 10 + 1 ELSE n // 10 END) AS step FROM v),
-        o AS (SELECT *, CASE WHEN raw = '' OR contains(raw, '.') THEN [] WHEN n BETWEEN 1900 AND 2100 THEN [n - 1, n + 1] WHEN n = 0 THEN [1, 10] ELSE [n + step, greatest(0, n - step)] END AS o FROM d),
-        w AS (SELECT id, s, list_distinct(o) AS d, list_transform(o, lambda x: substring(s, 1, strpos(s, raw) - 1) || CASE WHEN contains(raw, ',') THEN format('{:,}', CAST(x AS BIGINT)) ELSE CAST(x AS VARCHAR) END || substring(s, strpos(s, raw) + length(raw))) AS l FROM o)
-        SELECT id, array_to_string(CASE WHEN len(l) = 2 AND l[1] = l[2] THEN list_filter([l[1]], lambda x: x <> s) ELSE list_filter(l, lambda x: x <> s) END, '|') AS variants FROM w""",
-    "n04_equivalent": r"""
-        WITH b AS (SELECT id, surface AS s, regexp_extract(surface, '\d[\d,]*(?:\.\d+)?') AS raw FROM entities WHERE heuristic_group = 'numeric'),
-        v AS (SELECT id, s, list_filter([
-          CASE WHEN contains(raw, ',') THEN replace(s, raw, replace(raw, ',', '')) END, CASE WHEN contains(s, '%') THEN regexp_replace(s, '\s*%', ' percent', 'g') END,
-          CASE WHEN regexp_matches(s, '\d percent$') THEN regexp_replace(s, ' percent$', '%') END, CASE WHEN regexp_matches(s, '^\$\d[\d,.]*$') THEN replace(s, '$', '') || ' dollars' END,
-          CASE WHEN regexp_matches(s, '^€\d[\d,.]*$') THEN replace(s, '€', '') || ' euros' END, CASE WHEN regexp_matches(s, '^\d[\d,.]* euros$') THEN '€' || replace(s, ' euros', '') END], lambda x: x IS NOT NULL AND x <> s) AS l FROM b)
-        SELECT id, array_to_string(l, '|') AS variants FROM v""",
-    "n03_months": "WITH r AS (SELECT id, substring(title, 1, 200) AS title FROM texts UNION ALL SELECT id, surface FROM entities), v AS (SELECT *, CASE " + " ".join(
+    "n03_months": "WITH r AS (SELECT id, title FROM texts UNION ALL SELECT id, surface FROM entities), v AS (SELECT *, CASE " + " ".join(
         f"WHEN contains(lower(title), '{a}') THEN regexp_replace(title, '(?i){a}', '{b.capitalize()}', 'g')" for a, b in zip(R.MONTHS, R.MONTHS[1:] + R.MONTHS[:1])
     ) + " END AS variant FROM r) SELECT * FROM v WHERE variant IS NOT NULL",
     "n05_currency": """
