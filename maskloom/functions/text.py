@@ -180,19 +180,25 @@ def clip(x: Column, most: int) -> Column:
     return F.substring(x, F.lit(1), F.lit(most))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_budget(x: Column, needle: Column, budget: Column) -> Column:
     """The words around the bracketed ``needle``, at most ``budget`` in all with the span; the first words if it does not fit or is not there."""
-    marked = mark_first(x, needle)
-    at = F.position(F.lit("["), marked)
-    words_of = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    left = words_of(F.substring(marked, F.lit(1), at - 1))
-    close = F.position(F.lit("]"), marked)
-    span = words_of(F.substring(marked, at, close - at + 1))
-    right = words_of(F.substring(marked, close + 1, F.length(marked)))
-    room = budget - F.size(span)
-    before = F.least(F.size(left), F.greatest(F.floor(room / 2).cast("int"), room - F.size(right)))
-    after = F.least(F.size(right), room - before)
-    tail = F.when(before > 0, F.slice(left, F.size(left) - before + 1, before)).otherwise(F.array().cast("array<string>"))
-    head = F.slice(right, F.lit(1), after)
-    fits = marked.isNotNull() & (marked != x) & (at > 0) & (room >= 0)
-    return F.array_join(F.when(fits, F.concat(tail, span, head)).otherwise(F.slice(words_of(x), F.lit(1), budget)), " ")
+
+    def words_of(c: Column) -> Column:
+        return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    before, found, after = _around(x, needle)
+    span = F.when(found.isNotNull(), words_of(F.concat(F.lit("["), found, F.lit("]"))))
+    parts = F.struct(words_of(before).alias("left"), span.alias("span"), words_of(after).alias("right"), budget.alias("budget"))
+
+    def chosen(p: Column) -> Column:
+        room = p["budget"] - F.size(p["span"])
+        head = F.least(F.size(p["left"]), F.greatest(F.floor(room / 2).cast("int"), room - F.size(p["right"])))
+        tail = F.when(head > 0, F.slice(p["left"], F.size(p["left"]) - head + 1, head)).otherwise(F.array().cast("array<string>"))
+        return F.when(p["span"].isNotNull() & (room >= 0), F.concat(tail, p["span"], F.slice(p["right"], F.lit(1), F.least(F.size(p["right"]), room - head))))
+
+    return let(parts, lambda p: F.array_join(F.coalesce(chosen(p), F.slice(words_of(x), F.lit(1), p["budget"])), " "))

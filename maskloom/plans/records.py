@@ -29,17 +29,6 @@ def p03_normalized(spark, folder):
     return out.where("entity <> '' AND candidate <> '' AND left_md5 IS NOT NULL")
 
 
-def t13_materialized(spark, folder):
-    v = table(spark, folder, "judgments").select("pair_id", "mention_id", "entity", "candidate").distinct()
-    rows = v.join(_contexts(spark, folder).select(F.col("id").alias("mention_id"), "context", "surface"), "mention_id")
-    c = F.col("context")
-    by_entity = F.position(F.lower("entity"), F.lower(c)) > 0
-    by_surface = F.position(F.lower("surface"), F.lower(c)) > 0
-    masked = T.count_masks(c) > 0
-    how = F.when(by_entity, "entity").when(by_surface, "surface").when(masked, "mask").otherwise("unresolved")
-    return rows.groupBy(how.alias("how")).agg(F.count("*").alias("n"))
-
-
 def t22_marked(spark, folder):
     return _contexts(spark, folder).select("id", F.md5(T.mark_first(F.col("context"), F.col("surface"))).alias("md5"))
 
@@ -141,9 +130,6 @@ SQL = {
     "p03_normalized": f"""WITH {_V}, {_X}, r AS (SELECT v.*, context FROM v JOIN x ON x.id = v.mention_id WHERE label IN ('preserved', 'changed')),
         o AS (SELECT judgment_id, pair_id, {_SPACED.format(x='entity')} AS entity, {_SPACED.format(x='candidate')} AS candidate, label, md5(context) AS left_md5, md5({_around('context', 'entity', 'candidate')}) AS right_md5 FROM r)
         SELECT * FROM o WHERE entity <> '' AND candidate <> '' AND left_md5 IS NOT NULL""",
-    "t13_materialized": rf"""WITH {_X}, r AS (SELECT DISTINCT pair_id, mention_id, entity, candidate FROM judgments)
-        SELECT CASE WHEN strpos(lower(context), lower(entity)) > 0 THEN 'entity' WHEN strpos(lower(context), lower(surface)) > 0 THEN 'surface' WHEN regexp_matches(context, '(?i)[<\[](?:ent_)?mask[>\]]') THEN 'mask' ELSE 'unresolved' END AS how, count(*) AS n
-        FROM r JOIN x ON x.id = r.mention_id GROUP BY ALL""",
     "t22_marked": f"WITH {_X} SELECT id, md5({_around('context', 'surface', chr(39) + '[' + chr(39) + ' || {found} || ' + chr(39) + ']' + chr(39))}) AS md5 FROM x",
     "t11_replaced": f"WITH {_X} SELECT id, md5({_around('context', 'surface', chr(39) + 'X' + chr(39))}) AS md5 FROM x",
     "t10_nth_literal": """WITH p AS (SELECT id, string_split(original_text, ' the ') AS p FROM texts WHERE original_text IS NOT NULL)
