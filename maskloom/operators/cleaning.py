@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
+from .judging import known_non_equivalent
 
 
 def same_identity(a: Column, b: Column) -> Column:
@@ -16,16 +17,28 @@ def same_identity(a: Column, b: Column) -> Column:
     return spaced | (T.compact(a) == T.compact(b)) | ((T.article_free(a) == T.article_free(b)) & (T.article_free(a) != ""))
 
 
-def reject_reason(entity: Column, candidate: Column, left: Column, label: Column) -> Column:
-    """The first reason to reject a row, null for a valid one."""
-    numbers = F.array_join(N.signature(entity), "|"), F.array_join(N.signature(candidate), "|")
-    return (
-        F.when(F.coalesce(F.trim(entity), F.lit("")) == "", "missing_entity")
-        .when(F.coalesce(F.trim(candidate), F.lit("")) == "", "missing_candidate")
-        .when(same_identity(entity, candidate), "identity_or_normalized_identity")
-        .when(left.isNull() | ~F.contains(F.lower(left), F.lower(entity)), "entity_missing_from_left")
-        .when((label == "preserved") & (numbers[0] != numbers[1]), "numeric_value_changed_positive")
+# Pairs of words that are no equivalents, and the reasons to reject a row.
+NOT_EQUIVALENT = (("annual", "biannual"), ("annual", "biennial"), ("biannual", "biennial"))
+REASONS = (
+    "invalid_schema_or_label", "identity_or_normalized_identity", "identical_model_inputs", "entity_missing_from_left",
+    "candidate_missing_from_right", "known_non_equivalent_positive", "numeric_value_changed_positive",
+)
+
+
+def reject_reason(entity: Column, candidate: Column, left: Column, right: Column, label: Column, group: Column) -> Column:
+    """The first of REASONS that holds for a row, null for a valid one; numbers are compared in numeric rows that have some on both sides."""
+    numbers = [F.array_join(N.signature(c), "|") for c in (entity, candidate)]
+    blank = [F.coalesce(F.trim(c), F.lit("")) == "" for c in (entity, candidate, left, right)]
+    folded = [F.lower(T.normalize_space(c)) for c in (entity, candidate, left, right)]
+    conditions = (
+        blank[0] | blank[1] | blank[2] | blank[3] | ~F.coalesce(label.isin("preserved", "changed"), F.lit(False)), same_identity(entity, candidate), folded[2] == folded[3],
+        ~F.contains(folded[2], folded[0]), ~F.contains(folded[3], folded[1]), (label == "preserved") & known_non_equivalent(entity, candidate, NOT_EQUIVALENT),
+        (label == "preserved") & group.eqNullSafe("numeric") & (numbers[0] != "") & (numbers[1] != "") & (numbers[0] != numbers[1]),
     )
+    out = None
+    for condition, reason in zip(conditions, REASONS):
+        out = F.when(condition, reason) if out is None else out.when(condition, reason)
+    return out
 
 
 def flags(entity: Column, candidate: Column, left: Column) -> Column:

@@ -87,15 +87,25 @@ def nli_examples(rows: DataFrame, least: float = 0.8) -> DataFrame:
 def ranking_pairs(rows: DataFrame, group: str, negatives: int = 4, seed: str = "17") -> DataFrame:
     """``group, ranking_id, positive, negative``: every preserved row with a few changed ones of its group.
 
-    Which negatives a positive gets follows a hash, so a run can be repeated.
+    Negatives are numbered within their group in the order of a hash; a positive takes ``negatives`` of them in a row
+    from a place that its own hash says, round to the beginning. So a positive meets only its negatives, not all of its group,
+    and a run can be repeated.
     """
     pos = rows.where("label = 'preserved'").select(group, F.col("pair_id").alias("positive"))
     neg = rows.where("label = 'changed'").select(group, F.col("pair_id").alias("negative"))
-    draw = F.sha1(F.concat_ws("|", F.lit(seed), "positive", "negative"))
-    joined = pos.join(neg, group)
-    rank = Window.partitionBy("positive").orderBy(draw, "negative")
-    kept = joined.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= negatives)
-    return kept.select(group, T.stable_id(20, F.col("positive"), F.col("negative")).alias("ranking_id"), "positive", "negative")
+    order = Window.partitionBy(group).orderBy(F.sha1(F.concat_ws("|", F.lit(seed), "negative")), "negative")
+    numbered = neg.withColumn("k", F.row_number().over(order) - 1)
+    sizes = neg.groupBy(group).agg(F.count("*").alias("size"))
+    start = F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(seed), "positive")), 1, 8), 16, 10).cast("long")
+    taken = F.sequence(F.lit(0).cast("long"), F.least(F.lit(negatives), F.col("size")) - 1)
+    drawn = pos.join(sizes, group).withColumn("k", F.explode(F.transform(taken, lambda i: (start + i) % F.col("size"))))
+    return drawn.join(numbered, [group, "k"]).select(group, T.stable_id(20, F.col("positive"), F.col("negative")).alias("ranking_id"), "positive", "negative")
+
+
+def known_non_equivalent(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """The two words, in either order, are a listed pair."""
+    key = F.array_sort(F.array(T.article_free(a), T.article_free(b)))
+    return F.array_join(key, "|").isin(*["|".join(sorted(p)) for p in pairs])
 
 
 def stratified_sample(rows: DataFrame, strata: list[str], id: str, size: int, seed: str = "83") -> DataFrame:

@@ -157,10 +157,16 @@ _D = """d AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, a_to_b, b_to_a
 _B = "CASE WHEN score >= {h} THEN 'preserved' WHEN score <= {l} THEN 'changed' ELSE 'uncertain' END"
 _B10, _B60 = _B.format(h=0.9, l=0.1), _B.format(h=0.6, l=0.4)
 _C = """c AS (SELECT pair_id, count(*) FILTER (label = 'preserved') AS p, count(*) FILTER (label = 'changed') AS n FROM v GROUP BY pair_id)"""
-_RANK = f"""WITH {_V}, {_C}, l AS (SELECT pair_id, CASE WHEN p >= 1 AND n = 0 THEN 'preserved' WHEN n >= 1 AND p = 0 THEN 'changed' END AS label FROM c),
-  e AS (SELECT pair_id, min(entity_id) AS entity_id FROM judgments GROUP BY ALL), x AS (SELECT * FROM l JOIN e USING (pair_id)),
-  r AS (SELECT a.entity_id, a.pair_id AS positive, b.pair_id AS negative, row_number() OVER (PARTITION BY a.pair_id ORDER BY sha1('17|' || a.pair_id || '|' || b.pair_id), b.pair_id) AS r
-    FROM x a JOIN x b ON a.entity_id = b.entity_id AND a.label = 'preserved' AND b.label = 'changed')"""
+
+
+def ranking_sql(group):
+    return f"""WITH {_V}, {_C}, l AS (SELECT pair_id, CASE WHEN p >= 1 AND n = 0 THEN 'preserved' WHEN n >= 1 AND p = 0 THEN 'changed' END AS label FROM c),
+      e AS (SELECT pair_id, min({group}) AS g FROM judgments WHERE {group} IS NOT NULL GROUP BY ALL), x AS (SELECT * FROM l JOIN e USING (pair_id)),
+      n AS (SELECT g, pair_id AS negative, row_number() OVER (PARTITION BY g ORDER BY sha1('17|' || pair_id), pair_id) - 1 AS k, count(*) OVER (PARTITION BY g) AS size FROM x WHERE label = 'changed'),
+      r AS (SELECT p.g AS {group}, p.pair_id AS positive, negative FROM x p JOIN n ON n.g = p.g AND p.label = 'preserved' WHERE (k - CAST(('0x' || substring(sha1('17|' || p.pair_id), 1, 8)) AS BIGINT) % size + size) % size < 4)"""
+
+
+_RANK = ranking_sql("entity_id")
 
 SQL = {
     "a12_consensus": f"""WITH {_V}
@@ -199,8 +205,8 @@ SQL = {
     "a18_class_report": f"""WITH {_D}, x AS (SELECT derived AS t, coalesce(relation, 'missing') AS p FROM d), y AS (SELECT t AS c, 1 AS s, 0 AS q, CAST(t = p AS INT) AS h FROM x UNION ALL SELECT p, 0, 1, 0 FROM x),
         g AS (SELECT c, CAST(sum(s) AS BIGINT) AS support, CAST(sum(q) AS BIGINT) AS q, CAST(sum(h) AS BIGINT) AS h FROM y GROUP BY c), r AS (SELECT *, h / CAST(greatest(q, 1) AS DOUBLE) AS p, h / CAST(greatest(support, 1) AS DOUBLE) AS r FROM g)
         SELECT c AS class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM r""",
-    "j18_ranking": f"{_RANK} SELECT entity_id, substring(sha1(positive || chr(31) || negative), 1, 20) AS ranking_id, positive, negative FROM r WHERE r <= 4",
-    "a26_ranking_groups": f"{_RANK} SELECT entity_id, count(*) AS n_pairs, count(DISTINCT positive) AS n_positive FROM r WHERE r <= 4 GROUP BY entity_id",
+    "j18_ranking": f"{_RANK} SELECT entity_id, substring(sha1(positive || chr(31) || negative), 1, 20) AS ranking_id, positive, negative FROM r",
+    "a26_ranking_groups": f"{_RANK} SELECT entity_id, count(*) AS n_pairs, count(DISTINCT positive) AS n_positive FROM r GROUP BY entity_id",
     "w10_stratified": f"""WITH {_V}, s AS (SELECT judgment_id, coalesce(judge_provider, 'none') AS judge_provider, label FROM v),
         t AS (SELECT *, row_number() OVER (PARTITION BY judge_provider, label ORDER BY sha1('83|' || judgment_id)) AS turn FROM s),
         p AS (SELECT *, row_number() OVER (ORDER BY turn, judge_provider, label, judgment_id) AS place FROM t QUALIFY place <= 240)

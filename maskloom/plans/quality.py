@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import judging as J
 from ..operators import metrics as M
@@ -29,8 +30,11 @@ def _predictions(spark, folder):
 
 
 def f01_reject_reasons(spark, folder):
-    p = _pairs(spark, folder)
-    reason = C.reject_reason(F.col("entity"), F.col("candidate"), F.col("context"), F.col("label"))
+    """Reasons of all pairs; the right side is the left one with the candidate in place of the entity."""
+    e = table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "heuristic_group")
+    p = _pairs(spark, folder).join(e, "entity_id", "left")
+    entity, candidate, left = (F.col(c) for c in ("entity", "candidate", "context"))
+    reason = C.reject_reason(entity, candidate, left, T.replace_first(left, entity, candidate), F.col("label"), F.col("heuristic_group"))
     return p.groupBy(F.coalesce(reason, F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -83,8 +87,6 @@ def f09_surface_relations(spark, folder):
 
 
 def t28_overlap(spark, folder):
-    from ..functions import text as T
-
     e = table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "surface")
     g = table(spark, folder, "good_candidates").select("candidate_id", "entity_id", "candidate").distinct()
     share = T.jaccard(F.array_distinct(T.tokens(F.col("surface"))), F.array_distinct(T.tokens(F.col("candidate"))))
@@ -254,8 +256,12 @@ _COS = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label
 _TOP = f"{_COS}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank, cosine FROM c)"
 
 SQL = {
-    "f01_reject_reasons": f"""WITH {_P} SELECT CASE WHEN coalesce(trim(entity), '') = '' THEN 'missing_entity' WHEN coalesce(trim(candidate), '') = '' THEN 'missing_candidate' WHEN {_SAME} THEN 'identity_or_normalized_identity'
-        WHEN context IS NULL OR NOT contains(lower(context), lower(entity)) THEN 'entity_missing_from_left' WHEN label = 'preserved' AND {_SIG.format(x="entity")} <> {_SIG.format(x="candidate")} THEN 'numeric_value_changed_positive' ELSE 'valid' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
+    "f01_reject_reasons": f"""WITH {_P}, r AS (SELECT p.*, heuristic_group AS hg, CASE WHEN strpos(lower(context), lower(entity)) > 0 AND length(entity) > 0 THEN substring(context, 1, strpos(lower(context), lower(entity)) - 1) || candidate || substring(context, strpos(lower(context), lower(entity)) + length(entity)) ELSE context END AS rc
+          FROM p LEFT JOIN entities e ON e.id = p.entity_id),
+        q AS (SELECT *, lower({_NORM.format(x='context')}) AS l, lower({_NORM.format(x='rc')}) AS r, lower({_NORM.format(x='entity')}) AS e, lower({_NORM.format(x='candidate')}) AS c, {_SIG.format(x="entity")} AS s1, {_SIG.format(x="candidate")} AS s2 FROM r)
+        SELECT CASE WHEN coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' OR coalesce(trim(context), '') = '' OR coalesce(trim(rc), '') = '' OR label NOT IN ('preserved', 'changed') THEN 'invalid_schema_or_label' WHEN {_SAME} THEN 'identity_or_normalized_identity' WHEN l = r THEN 'identical_model_inputs'
+          WHEN NOT contains(l, e) THEN 'entity_missing_from_left' WHEN NOT contains(r, c) THEN 'candidate_missing_from_right' WHEN label = 'preserved' AND {_ART.format(x='entity')} IN ('annual', 'biannual', 'biennial') AND {_ART.format(x='candidate')} IN ('annual', 'biannual', 'biennial') THEN 'known_non_equivalent_positive'
+          WHEN label = 'preserved' AND hg = 'numeric' AND s1 <> '' AND s2 <> '' AND s1 <> s2 THEN 'numeric_value_changed_positive' ELSE 'valid' END AS reason, count(*) AS n FROM q GROUP BY ALL""",
     "f03_flags": f"""WITH {_P}, f AS (SELECT coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' AS f1, coalesce({_SAME}, false) AS f2,
           coalesce({_SIG.format(x="entity")} = {_SIG.format(x="candidate")} AND {_SIG.format(x="entity")} <> '', false) AS f3, context IS NULL AS f4, coalesce(context IS NOT NULL AND NOT contains(lower(context), lower(entity)), false) AS f5 FROM p),
         g AS (SELECT f1 OR f2 OR f5 AS critical, unnest([CASE WHEN f1 THEN 'missing_required_field' END, CASE WHEN f2 THEN 'identity_candidate' END, CASE WHEN f3 THEN 'numeric_same_value_format' END, CASE WHEN f4 THEN 'target_location_unresolved' END, CASE WHEN f5 THEN 'entity_missing_after_materialization' END]) AS flag FROM f)
