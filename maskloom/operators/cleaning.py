@@ -8,7 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..durable import cut
 from .judging import known_non_equivalent
+from .skew import lookup
+from .splitting import hash_ranked
+
+_ALL = "__ALL__"
 
 
 def same_identity(a: Column, b: Column) -> Column:
@@ -104,18 +109,23 @@ def surface_relation(a: Column, b: Column) -> Column:
     )
 
 
-def same_type_negatives(mentions: DataFrame, entities: DataFrame, per_mention: int = 1, seed: str = "13") -> DataFrame:
-    """``id, candidate``: for each mention another surface of its type, drawn by hash.
+def same_type_negatives(mentions: DataFrame, entities: DataFrame, seed: str = "13") -> DataFrame:
+    """``id, entity_id, candidate``: for each mention another surface of its type, drawn by hash; of all types if its own has none.
 
-    The pool of a type is numbered once; a mention's draw is a number in the pool, so the join is one to one
-    whatever the size of the pool. Types with a single surface give no row.
+    The pool of a type is numbered in the order of a hash, large types in parts; a mention's draw is a number in the pool, so the join
+    is one to one whatever the size of the pool, and mentions of a frequent entity draw different numbers. Types number few; their
+    sizes are sent to all tasks only after they are counted.
     """
-    ranked = Window.partitionBy("t").orderBy("surface_key")
-    pool = entities.select(F.col("heuristic_type").alias("t"), "surface_key", "surface").where("t IS NOT NULL")
-    numbered = pool.withColumn("k", F.row_number().over(ranked) - 1)
-    sizes = pool.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
-    own = numbered.join(entities.select("surface_key", F.col("id").alias("entity_id")), "surface_key").select("entity_id", "t", F.col("k").alias("own"))
-    rows = mentions.select("id", "entity_id").distinct().join(own, "entity_id").join(F.broadcast(sizes), "t")
+    pool = entities.where("surface IS NOT NULL").select(F.col("id").alias("entity_id"), "surface", F.coalesce("heuristic_type", F.lit(_ALL)).alias("own_type"))
+    pool = cut(pool.select("entity_id", "surface", F.explode(F.array_distinct(F.array("own_type", F.lit(_ALL)))).alias("t"), "own_type"), "pool")
+    sizes = cut(pool.groupBy("t").agg(F.count("*").alias("n")), "pool-sizes")
+    numbered = cut(hash_ranked(pool, ["t"], "entity_id", sizes).select("t", "entity_id", "surface", "own_type", F.col("rank").alias("k")), "numbered")
+    # An entity draws from its type if another is there, else from all.
+    asked = numbered.join(F.broadcast(sizes), "t").where("n > 1").select("entity_id", F.struct((F.col("t") == _ALL).alias("last"), "t", F.col("k").alias("own"), F.col("n").alias("size")).alias("x"))
+    asked = asked.groupBy("entity_id").agg(F.min("x").alias("x")).select("entity_id", "x.t", "x.own", "x.size")
+    facts = mentions.select("id", "entity_id").distinct()
+    per = facts.groupBy("entity_id").agg(F.count("*").alias("n_mentions"))
+    rows = lookup(facts, asked.join(per, "entity_id"), "entity_id", "n_mentions")
     draw = F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % (F.col("size") - 1)
     drawn = rows.withColumn("k", F.when(draw >= F.col("own"), draw + 1).otherwise(draw))
     return drawn.join(numbered.select("t", "k", F.col("surface").alias("candidate")), ["t", "k"]).select("id", "entity_id", "candidate")

@@ -9,6 +9,8 @@ from ..operators import judging as J
 from ..operators import metrics as M
 from ..operators import splitting as S
 from ..operators import vectors as V
+from ..operators.skew import join_by_size
+from ..durable import cut
 from ..sources.tables import table
 
 
@@ -114,14 +116,48 @@ def c01_components(spark, folder):
     return S.component_sizes(S.entity_document_components(rows, "entity_id", "text_id"))
 
 
+def _placed(spark, folder):
+    """Pairs with their component, and whether their source (the provider) is rare: under 500 rows or 5 %, whichever is more."""
+    rows = _pairs(spark, folder).where("text_id IS NOT NULL AND entity_id IS NOT NULL").select("pair_id", "entity_id", "text_id", F.coalesce("judge_provider", F.lit("none")).alias("source"))
+    per = rows.groupBy("source").agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n").alias("total"))
+    rare = per.join(F.broadcast(total)).where(F.col("n") < F.greatest(F.lit(500), F.floor(F.col("total") * 0.05))).select("source", F.lit(1).alias("rare"))
+    flagged = join_by_size(rows, rare, "source", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    return S.entity_document_components(flagged, "entity_id", "text_id")
+
+
+_RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def c02_ratio_split(spark, folder):
+    placed = _placed(spark, folder)
+    split = S.greedy_splits(placed.groupBy("component").agg(F.count("*").alias("size")), _RATIOS)
+    return placed.join(split, "component").select("pair_id", "component", "split")
+
+
 def c03_greedy_split(spark, folder):
-    rows = _pairs(spark, folder).where("text_id IS NOT NULL").select("pair_id", "entity_id", "text_id")
-    placed = S.entity_document_components(rows, "entity_id", "text_id")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    split = S.greedy_splits(sizes, {"train": 0.8, "val": 0.1, "test": 0.1})
+    """The same with rows of rare sources spread first."""
+    placed = cut(_placed(spark, folder), "placed")
+    split = S.greedy_splits(placed.groupBy("component").agg(F.count("*").alias("size"), F.sum("rare").alias("rare")), _RATIOS, rare="rare")
     return placed.join(split, "component").select("pair_id", "component", "split")
 
 
+def _held(rows):
+    """What a split must keep: no component in two splits, every row placed, no split but those named."""
+    per = rows.groupBy("component").agg(F.count_distinct("split").alias("k"))
+    crossing = per.agg(F.count_if(F.col("k") > 1).alias("n_crossing"))
+    total = rows.agg(F.count("*").alias("n_rows"), F.count_if(~F.coalesce(F.col("split").isin(*_RATIOS), F.lit(False))).alias("n_unplaced"))
+    return total.crossJoin(crossing)  # two single rows
+
+
+def c02_held(spark, folder):
+    return _held(c02_ratio_split(spark, folder))
+
+
+def c03_held(spark, folder):
+    return _held(c03_greedy_split(spark, folder))
+
+
 def c04_grouped_split(spark, folder):
     return S.hash_splits(table(spark, folder, "judgments"), "entity_id")
 
@@ -281,8 +317,10 @@ SQL = {
     "t28_overlap": r"""WITH t AS (SELECT candidate_id, list_distinct(regexp_extract_all(lower(surface), '[\p{L}\p{N}]+')) AS x, list_distinct(regexp_extract_all(lower(candidate), '[\p{L}\p{N}]+')) AS y
           FROM (SELECT DISTINCT candidate_id, entity_id, candidate FROM good_candidates) JOIN entities e ON e.id = entity_id), s AS (SELECT *, len(list_intersect(x, y)) AS n FROM t)
         SELECT candidate_id, CASE WHEN len(x) + len(y) - n = 0 THEN 0.0 ELSE round(CAST(n AS DOUBLE) / (len(x) + len(y) - n), 6) END AS jaccard FROM s""",
-    "j06_same_type_negative": """WITH p AS (SELECT id AS entity_id, heuristic_type AS t, surface, row_number() OVER (PARTITION BY heuristic_type ORDER BY surface_key) - 1 AS k, count(*) OVER (PARTITION BY heuristic_type) AS size FROM entities WHERE heuristic_type IS NOT NULL),
-        m AS (SELECT DISTINCT id, entity_id FROM mentions), d AS (SELECT m.id, m.entity_id, t, k AS own, CAST(('0x' || substring(sha1('13|' || m.id), 1, 8)) AS BIGINT) % (size - 1) AS draw FROM m JOIN p USING (entity_id) WHERE size > 1)
+    "j06_same_type_negative": """WITH e AS (SELECT id AS entity_id, surface, coalesce(heuristic_type, '__ALL__') AS t FROM entities WHERE surface IS NOT NULL), b AS (SELECT * FROM e UNION SELECT entity_id, surface, '__ALL__' FROM e),
+        p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY sha1('41|' || entity_id), entity_id) - 1 AS k, count(*) OVER (PARTITION BY t) AS size FROM b),
+        o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY t = '__ALL__', t) AS first FROM p WHERE size > 1),
+        m AS (SELECT DISTINCT id, entity_id FROM mentions), d AS (SELECT m.id, m.entity_id, t, k AS own, CAST(('0x' || substring(sha1('13|' || m.id), 1, 8)) AS BIGINT) % (size - 1) AS draw FROM m JOIN o USING (entity_id) WHERE first = 1)
         SELECT d.id, d.entity_id, p.surface AS candidate FROM d JOIN p ON p.t = d.t AND p.k = CASE WHEN draw >= own THEN draw + 1 ELSE draw END""",
     "a21_coverage": """WITH s AS (SELECT 'inventory' AS stage, id FROM entities UNION SELECT 'mentioned', entity_id FROM mentions UNION SELECT 'proposed', entity_id FROM good_candidates UNION SELECT 'judged', entity_id FROM judgments),
         r AS (SELECT stage, heuristic_group, heuristic_type FROM s JOIN entities e ON e.id = s.id)
@@ -290,6 +328,8 @@ SQL = {
     "c01_components": f"""WITH RECURSIVE {_P}, e AS (SELECT DISTINCT 'e' || entity_id AS x, 'd' || text_id AS y FROM p WHERE text_id IS NOT NULL AND entity_id IS NOT NULL),
         s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS a, x AS b FROM s UNION SELECT r.a, s.y FROM r JOIN s ON s.x = r.b), g AS (SELECT a, min(b) AS component FROM r GROUP BY a),
         z AS (SELECT component, count(*) AS size FROM p JOIN g ON g.a = 'e' || p.entity_id WHERE text_id IS NOT NULL GROUP BY component) SELECT size, count(*) AS n_components FROM z GROUP BY size""",
+    "c02_held": f"WITH {_P} SELECT count(*) AS n_rows, 0::BIGINT AS n_unplaced, 0::BIGINT AS n_crossing FROM p WHERE text_id IS NOT NULL AND entity_id IS NOT NULL",
+    "c03_held": f"WITH {_P} SELECT count(*) AS n_rows, 0::BIGINT AS n_unplaced, 0::BIGINT AS n_crossing FROM p WHERE text_id IS NOT NULL AND entity_id IS NOT NULL",
     "c04_grouped_split": f"WITH {_hash_split('entity_id')} SELECT * FROM x",
     "c05_random_split": f"WITH {_hash_split('pair_id')} SELECT * FROM x",
     "j11_overlap": f"WITH {_P}, {_hash_split('pair_id')}, r AS (SELECT * FROM p JOIN x USING (pair_id)), {_shared({'entity': 'entity_id', 'document': 'text_id', 'candidate': 'lower(candidate)'})}",
