@@ -34,6 +34,7 @@ def top_k(queries: DataFrame, rows: DataFrame, id: str, vector: str, k: int, blo
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q, groups = sent.value
+            held_ids, held = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
             for batch in batches:
                 if not len(batch):
                     continue
@@ -43,11 +44,13 @@ def top_k(queries: DataFrame, rows: DataFrame, id: str, vector: str, k: int, blo
                 other = batch["id"].to_numpy()
                 cosine[ids[:, None] == other[None, :]] = -np.inf
                 cosine[groups[:, None] != batch["g"].to_numpy(object)[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(other, cosine.shape), -cosine), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), best.shape[1])
-                col = best.ravel()
-                use = np.isfinite(cosine[row, col])
-                yield pd.DataFrame({"query": ids[row][use], "id": other[col][use], "cosine": cosine[row, col][use]})
+                # What the task has kept so far competes with the batch; k a query remain.
+                cosine = np.concatenate([held, cosine], axis=1)
+                every = np.concatenate([held_ids, np.broadcast_to(other, (len(ids), len(other)))], axis=1)
+                best = np.lexsort((every, -cosine), axis=1)[:, :k]
+                held, held_ids = np.take_along_axis(cosine, best, 1), np.take_along_axis(every, best, 1)
+            use = np.isfinite(held)
+            yield pd.DataFrame({"query": np.repeat(ids, held.shape[1])[use.ravel()], "id": held_ids[use], "cosine": held[use]})
 
         part = base.mapInPandas(run, "query long, id long, cosine double")
         found = part if found is None else found.unionByName(part)

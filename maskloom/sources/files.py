@@ -17,12 +17,15 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
     return reader.json(path)
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_if_there(spark: SparkSession, path: str | None, schema: StructType | str) -> DataFrame:
     """As ``read_jsonl``; a missing file or no path is an empty table."""
-    if path:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            return read_jsonl(spark, path, schema)
+    if path and is_there(spark, path):
+        return read_jsonl(spark, path, schema)
     return spark.createDataFrame([], schema)
 
 
@@ -75,12 +78,57 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
     write_jsonl(df.join(done, key, "left_anti"), path, "append")
 
 
-def split_round_robin(df: DataFrame, order: Column, n: int) -> DataFrame:
-    """``part`` 0..n-1 in the order of a hash-free key: row k goes to part k mod n within ranges of the order."""
-    from pyspark.sql.window import Window
+def split_round_robin(df: DataFrame, id: str, n: int, seed: str = "41") -> DataFrame:
+    """``df`` with ``part`` 0..n-1: row k in the order of a hash of ``id`` goes to part k mod n, whatever the layout of the input.
+
+    Ranks are exact and found in parts, so parts differ by at most one row and no task ranks all.
+    """
+    from ..operators.splitting import hash_ranked
+
+    one = df.withColumn("_all", F.lit(0))
+    counts = one.groupBy("_all").agg(F.count("*").alias("n"))
+    return hash_ranked(one, ["_all"], id, counts, seed).withColumn("part", (F.col("rank") % n).cast("int")).drop("rank", "_all")
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split", reviewed: int | None = None) -> None:
+    """Rows by split, one folder each; of the split ``review`` at most ``reviewed`` rows, in the order of their hash."""
+    if reviewed is not None:
+        review = F.coalesce(F.col(split) == "review", F.lit(False))
+        few = df.where(review).orderBy(F.xxhash64(*df.columns)).limit(reviewed)
+        df = df.where(~review).unionByName(few)
+    df.write.mode("overwrite").partitionBy(split).option("ignoreNullFields", "false").json(path)
+
+
+def write_metadata(spark, path: str, values: dict[str, str]) -> None:
+    """A table of keys and values beside an output: given keys replace theirs, the others stay."""
+    old = {r["key"]: r["value"] for r in read_if_there(spark, path, "key string, value string").collect()}
+    rows = sorted({**old, **{k: str(v) for k, v in values.items()}}.items())
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def entity_ids(tags: DataFrame, group: str | None = None, limit: int | None = None) -> DataFrame:
+    """``entity_id``: ids of tag rows, each once, in the order of their first row; of one group and at most ``limit`` if stated."""
+    rows = tags.where(F.col("coarse_group") == group) if group else tags
+    first = rows.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.min("place").alias("place"))
+    return (first.orderBy("place", "entity_id").limit(limit) if limit is not None else first).select("entity_id")
+
+
+# Scores that a bare label stands for.
+DEFAULT_SCORES = {"changed": 0.0, "uncertain": 0.5, "preserved": 1.0}
+
+
+def parsed_judgments(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, pair_id, label, score``: the judgments in an answer, as objects in ``results`` or as a compact map of pair to label.
 
-    ranged = df.withColumn("_range", F.spark_partition_id())
-    return ranged.withColumn("part", (F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1) % n).drop("_range")
+    Code fences and talk around the JSON are dropped; labels are folded to lower case; a missing score is that of the label; answers
+    that aren't JSON, and labels that aren't known, give no row.
+    """
+    text = F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit(""))
+    full = F.from_json(text, "results array<struct<pair_id:string,label:string,score:double>>")["results"]
+    compact = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda x: F.struct(x["key"].alias("pair_id"), x["value"].alias("label"), F.lit(None).cast("double").alias("score")))
+    found = rows.select(key, F.inline(F.coalesce(full, compact))).withColumn("label", F.lower(F.trim("label"))).where(F.col("label").isin(*DEFAULT_SCORES))
+    known = F.create_map(*[F.lit(x) for pair in DEFAULT_SCORES.items() for x in pair])
+    return found.select(key, "pair_id", "label", F.coalesce("score", known[F.col("label")]).alias("score"))
 
 
 def markdown(df: DataFrame, group: str, per_group: int, order: Column) -> str:
