@@ -75,6 +75,10 @@ def p5_splits(spark, folder):
     return splits.assign_splits(_groups(spark, folder), table(spark, folder, "split_targets"))
 
 
+def p5_held(spark, folder):
+    return splits.held(p5_splits(spark, folder), table(spark, folder, "split_targets"))
+
+
 def p6_found(spark, folder):
     return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "texts")))
 
@@ -84,6 +88,22 @@ def p6_classes(spark, folder):
     return neardup.per_text(texts, *neardup.near_duplicates(texts))
 
 
+def _same_body(spark, folder, pairs):
+    t = table(spark, folder, "texts").where("original_text IS NOT NULL").select("id", F.md5("original_text").alias("md5"))
+    one, two = t.toDF("text_id_a", "md5"), t.toDF("text_id_b", "md5")
+    return pairs.join(one, "text_id_a").join(two, ["text_id_b", "md5"]).select("text_id_a", "text_id_b")
+
+
+def p4_exact(spark, folder):
+    """The overlaps whose bodies are the same to the letter."""
+    return _same_body(spark, folder, p4_found(spark, folder))
+
+
+def p6_exact(spark, folder):
+    """The near-duplicates whose bodies are the same to the letter."""
+    return _same_body(spark, folder, p6_found(spark, folder))
+
+
 def p7_packing(spark, folder):
     return packing.pack_all(*_tables(spark, folder, "documents", "containers"))
 
@@ -101,6 +121,13 @@ def p8_found(spark, folder):
     return leakage.leaks(*_tables(spark, folder, "documents", "eval_items")).select("doc_id", "item_id")
 
 
+def p8_verbatim(spark, folder):
+    """The leaks that hold the whole passage to the letter."""
+    documents, items = _tables(spark, folder, "documents", "eval_items")
+    found = p8_found(spark, folder).join(documents.select("doc_id", "text"), "doc_id").join(items.select("item_id", "passage"), "item_id")
+    return found.where(F.contains("text", "passage")).select("doc_id", "item_id")
+
+
 def p8_report(spark, folder):
     documents, items = _tables(spark, folder, "documents", "eval_items")
     found = leakage.leaks(documents, items)
@@ -129,15 +156,19 @@ QUERIES = {
     "p3_first_weights": p3_first_weights,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p4_exact": p4_exact,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_held": p5_held,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p6_exact": p6_exact,
     "p7_packing": p7_packing,
     "p7_use_of_space": p7_use_of_space,
     "p7_placement": p7_placement,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p8_verbatim": p8_verbatim,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
@@ -153,6 +184,11 @@ _VOTES = f"""j AS (SELECT DISTINCT judgment_id, pair_id, annotator_id, {_VOTE} A
 
 # Only what SQL can say over whole tables; the others are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
+    "p4_exact": r"""WITH t AS (SELECT x.id, original_text, lower(trim(split)) AS s FROM texts x JOIN datasets d ON d.id = dataset_id WHERE regexp_matches(original_text, '[\p{L}\p{N}]'))
+        SELECT least(a.id, b.id) AS text_id_a, greatest(a.id, b.id) AS text_id_b FROM t a JOIN t b ON a.original_text = b.original_text AND a.s = 'train' AND b.s IN ('validation', 'test')""",
+    "p5_held": "SELECT count(*) AS n_texts, 0::BIGINT AS n_crossing, 0::BIGINT AS n_off FROM (SELECT DISTINCT id FROM texts WHERE id IS NOT NULL)",
+    "p6_exact": r"""SELECT a.id AS text_id_a, b.id AS text_id_b FROM texts a JOIN texts b ON a.original_text = b.original_text AND a.id < b.id WHERE regexp_matches(a.original_text, '[\p{L}\p{N}]')""",
+    "p8_verbatim": "SELECT doc_id, item_id FROM documents JOIN eval_items ON contains(text, passage)",
     "p7_placement": "SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_broken, 0::BIGINT AS n_over FROM containers",
     "p3_agreement": f"""
         WITH {_VOTES}, c AS (SELECT pair_id, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY pair_id) AS m FROM v GROUP BY pair_id, l), k AS (SELECT * FROM c WHERE m > 1),

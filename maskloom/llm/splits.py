@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..durable import cut
 from ..operators.components import connected_components
+from ..operators.skew import lookup
+from ..operators.splitting import greedy_splits
 
 _ENTITY = 1 << 62
 _SOURCE = 1 << 61
@@ -57,41 +59,30 @@ def tied_groups(texts: DataFrame, mentions: DataFrame, entities: DataFrame) -> D
     return joined.select("text_id", F.coalesce("component", "text_id").alias("group_id"))
 
 
-def assign_splits(groups: DataFrame, targets: DataFrame, seed: int = 41, large: float = 0.001) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     """``text_id, group_id, split``: whole groups go to one split, shares close to ``targets``.
 
-    A group's hash falls into the range of one split. Groups of more than ``large`` of all texts (at most
-    1 / ``large`` of them, so few enough for the driver) would upset that: they go first, largest first,
-    to the split that then lacks most, and the ranges are set to what each split still lacks. Shares are
-    scaled to add up to 1; a null or negative share is 0; with no targets the split is null.
+    Groups of each size are put in the order of the hash of their id, and that order is cut into the ranges that
+    splits still need, larger groups first: proportional ranges of the hash, so that neither one large group nor
+    the luck of many small ones upsets the shares. Only the histogram of group sizes reaches the driver, at most as many rows as the square
+    root of twice the number of texts, and it is the same way at every size. Shares are scaled to add up to 1; a null or
+    negative share is 0; with no targets the split is null; no groups, no rows.
     """
-    wanted = [(r["split"], max(0.0, r["target_share"] or 0.0)) for r in targets.select("split", "target_share").collect()]
-    scale = sum(x for _, x in wanted)
-    if not wanted or not scale:
+    wanted = {r["split"]: max(0.0, r["target_share"] or 0.0) for r in targets.select("split", "target_share").where("split IS NOT NULL").collect()}
+    if not sum(wanted.values()):
         return groups.withColumn("split", F.lit(None).cast("string"))
     groups = cut(groups, "groups")
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
-    total = groups.count()
-    lacking = {name: total * share / scale for name, share in sorted(wanted)}
-    placed = {}
-    for row in sizes.where(F.col("n") > max(1, total * large)).orderBy(F.desc("n"), "group_id").collect():
-        to = max(lacking, key=lacking.get)
-        placed[row["group_id"]] = to
-        lacking[to] -= row["n"]
-    left = {name: max(0.0, x) for name, x in lacking.items()}
-    rest = sum(left.values()) or 1.0
-    unit = F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(1 << 52)) / float(1 << 52)
-    split, low = None, 0.0
-    for name, share in left.items():
-        high = low + share / rest
-        hit = (unit >= low) & (unit < high)
-        split = F.when(hit, name) if split is None else split.when(hit, name)
-        low = high
-    split = split.otherwise(max(left, key=left.get))
-    if placed:
-        big = groups.sparkSession.createDataFrame(list(placed.items()), "group_id long, big string")
-        return (
-            groups.join(F.broadcast(big), "group_id", "left")
-            .select("text_id", "group_id", F.coalesce("big", split).alias("split"))
-        )
-    return groups.select("text_id", "group_id", split.alias("split"))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("size")).withColumnRenamed("group_id", "component")
+    split = greedy_splits(sizes, wanted, tuple(sorted(wanted, key=lambda k: (wanted[k], k)))).withColumnRenamed("component", "group_id")
+    weights = cut(split.join(sizes.withColumnRenamed("component", "group_id"), "group_id"), "group-splits")
+    return lookup(groups, weights, "group_id", "size").select("text_id", "group_id", "split")
+
+
+def held(assigned: DataFrame, targets: DataFrame, within: float = 0.01) -> DataFrame:
+    """``n_texts, n_crossing, n_off``: texts placed, groups in several splits, and splits whose share is off by more than ``within`` beyond the largest group."""
+    total = assigned.agg(F.count("*").alias("n_texts"))
+    per_group = assigned.groupBy("group_id").agg(F.count_distinct("split").alias("k"), F.count("*").alias("n")).agg(F.count_if(F.col("k") > 1).alias("n_crossing"), F.max("n").alias("largest"))
+    shares = targets.select("split", "target_share").join(assigned.groupBy("split").agg(F.count("*").alias("n")), "split", "left")
+    both = shares.crossJoin(F.broadcast(total.crossJoin(per_group)))  # a row per split and two single rows
+    off = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_texts") - F.col("target_share")) > within + F.col("largest") / F.col("n_texts")
+    return both.groupBy("n_texts", "n_crossing").agg(F.count_if(off).alias("n_off"))
