@@ -27,14 +27,15 @@ def component_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_components"))
 
 
-def _level(load: dict[str, float], target: dict[str, float], step: float, count: int) -> dict[str, int]:
-    """How many of ``count`` equal items of ``step`` each split gets if every item goes where load by target is least."""
-    low, high = 0.0, max((load[k] + step * count) / target[k] for k in load) + 1.0
+def _level(load: dict[str, float], base: dict[str, float], unit: dict[str, float], step: float, count: int) -> dict[str, int]:
+    """How many of ``count`` equal items of ``step`` each split gets if every item goes where (load - base) / unit is least."""
 
     def fits(level: float) -> dict[str, int]:
         # Items go to a split while it is below the level before they come.
-        return {k: max(0, math.ceil((level * target[k] - load[k]) / step)) for k in load}
+        return {k: max(0, math.ceil((level * unit[k] + base[k] - load[k]) / step)) for k in load}
 
+    low = min((load[k] - base[k]) / unit[k] for k in load)
+    high = max((load[k] + step * count - base[k]) / unit[k] for k in load) + 1.0
     for _ in range(200):
         middle = (low + high) / 2
         if sum(fits(middle).values()) <= count:
@@ -44,30 +45,35 @@ def _level(load: dict[str, float], target: dict[str, float], step: float, count:
     return fits(low)
 
 
-def quotas(classes: list[tuple[int, int, int]], ratios: dict[str, float], order: tuple[str, ...]) -> list[tuple[int, int, str, int, int]]:
+def quotas(classes: list[tuple[int, int, int]], ratios: dict[str, float], order: tuple[str, ...], by_share: bool = True) -> list[tuple[int, int, str, int, int]]:
     """``(size, rare, split, low, high)``: which ranks of each class of components go to which split.
 
     ``classes`` are ``(size, rare rows, components)``. Components with rows of a rare source come first, larger ones before
-    smaller ones, each to the split whose rare rows fall most behind its share, then whose rows do, then by ``order``;
-    the others then to the split whose rows fall most behind. Equal components are placed all at once: what
-    they would bring about one by one follows from the level they fill up to.
+    smaller ones, each to the split whose rare rows fall most behind, then whose rows do, then by ``order``; the others then
+    to the split whose rows fall most behind: by the share of its target it has, or else by the rows it lacks, which keeps a large
+    component out of a small split. Equal components are placed all at once: what they would bring about one by one
+    follows from the level they fill up to.
     """
     total, rare_total = (sum(c[i] * c[2] for c in classes) for i in (0, 1))
     scale = sum(ratios.values()) or 1.0
-    target = {k: max(total * v / scale, 1.0) for k, v in ratios.items()}
-    rare_target = {k: max(rare_total * v / scale, 1.0) for k, v in ratios.items()}
+
+    def ruler(of: int) -> tuple[dict[str, float], dict[str, float]]:
+        goal = {k: max(of * v / scale, 1.0) for k, v in ratios.items()}
+        return (dict.fromkeys(ratios, 0.0), goal) if by_share else ({k: of * v / scale for k, v in ratios.items()}, dict.fromkeys(ratios, 1.0))
+
+    (base, unit), (rare_base, rare_unit) = ruler(total), ruler(rare_total)
     load, rare_load, out = dict.fromkeys(ratios, 0.0), dict.fromkeys(ratios, 0.0), []
     open_ = [k for k in ratios if ratios[k] > 0]
     for size, rare, count in sorted(classes, key=lambda c: (c[1] == 0, -c[0], -c[1])):
-        main, goal, step = (rare_load, rare_target, rare) if rare else (load, target, size)
+        main, zero, one, step = (rare_load, rare_base, rare_unit, rare) if rare else (load, base, unit, size)
         given = dict.fromkeys(ratios, 0)
         if count > 1000:
-            given |= _level({k: main[k] for k in open_}, goal, step, count)
+            given |= _level({k: main[k] for k in open_}, zero, one, step, count)
         for k, n in given.items():
             load[k] += n * size
             rare_load[k] += n * rare
         for _ in range(count - sum(given.values())):
-            to = min(open_, key=lambda k: (main[k] / goal[k], load[k] / target[k], order.index(k)))
+            to = min(open_, key=lambda k: ((main[k] - zero[k]) / one[k], (load[k] - base[k]) / unit[k], order.index(k)))
             given[to] += 1
             load[to] += size
             rare_load[to] += rare
@@ -95,7 +101,7 @@ def hash_ranked(rows: DataFrame, by: list[str], id: str, counts: DataFrame, seed
     return ranked.withColumn("rank", F.col("_r") + F.col("_offset")).drop("_h", "_part", "_r", "_offset")
 
 
-def greedy_splits(sizes: DataFrame, ratios: dict[str, float], order: tuple[str, ...] = ("test", "val", "train"), rare: str | None = None) -> DataFrame:
+def greedy_splits(sizes: DataFrame, ratios: dict[str, float], order: tuple[str, ...] = ("test", "val", "train"), rare: str | None = None, by_share: bool = True) -> DataFrame:
     """``component, split``: components by size, those with rows of rare sources first (see ``quotas``).
 
     ``sizes`` has ``component, size`` and, if named, ``rare``, the rows of rare sources. Only the histogram of sizes reaches the driver:
@@ -107,7 +113,7 @@ def greedy_splits(sizes: DataFrame, ratios: dict[str, float], order: tuple[str,
     classes = [(r["size"], r["rare"], r["n"]) for r in per.collect()]
     spark = sizes.sparkSession
     counts = spark.createDataFrame(classes, "size long, rare long, n long")
-    ranges = spark.createDataFrame(quotas(classes, ratios, order), "size long, rare long, split string, low long, high long")
+    ranges = spark.createDataFrame(quotas(classes, ratios, order, by_share), "size long, rare long, split string, low long, high long")
     per_class = ranges.groupBy("size", "rare").agg(F.array_sort(F.collect_list(F.struct("low", "split"))).alias("ranges"))
     ranked = hash_ranked(sizes, ["size", "rare"], "component", counts).join(F.broadcast(per_class), ["size", "rare"])
     found = F.element_at(F.filter("ranges", lambda x: x["low"] <= F.col("rank")), -1)["split"]
