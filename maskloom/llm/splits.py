@@ -73,7 +73,7 @@ def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
         return groups.withColumn("split", F.lit(None).cast("string"))
     groups = cut(groups, "groups")
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("size")).withColumnRenamed("group_id", "component")
-    split = greedy_splits(sizes, wanted, tuple(sorted(wanted, key=lambda k: (wanted[k], k)))).withColumnRenamed("component", "group_id")
+    split = greedy_splits(sizes, wanted, tuple(sorted(wanted)), by_share=False).withColumnRenamed("component", "group_id")
     weights = cut(split.join(sizes.withColumnRenamed("component", "group_id"), "group_id"), "group-splits")
     return lookup(groups, weights, "group_id", "size").select("text_id", "group_id", "split")
 
