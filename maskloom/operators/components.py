@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,26 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return least.select("l", F.col("m").alias("s")).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over one partition of bounded size: every node with the smallest node of its component."""
+    parts = [b[["l", "s"]].to_numpy(np.int64) for b in batches if len(b)]
+    if not parts:
+        return
+    nodes, place = np.unique(np.concatenate(parts), return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        differ = high != low
+        if not differ.any():
+            break
+        np.minimum.at(root, high[differ], low[differ])
+        while (root[root] != root).any():
+            root = root[root]
+    yield pd.DataFrame({"node": nodes, "component": nodes[root]})
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, at_once: int = 0) -> DataFrame:
     """One row ``node, component`` (longs) per node of ``edges``; the component is its smallest node.
 
     Nulls in either column and self-loops are dropped (a node seen only in those is absent); repeated
@@ -35,13 +58,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each round is two rewritings of the edge table and ends in a table in the shared folder, so lineage
     stays short and a lost executor costs one round. Hot nodes go through ``lookup``. The loop ends when
     the edges are a fixed point, which for these rewritings is a forest of stars; rounds grow with the
-    logarithm of the longest path.
+    logarithm of the longest path. Up to ``at_once`` edges, counted before, are resolved by one task instead (16
+    bytes an edge); the result is the same.
     """
     pair = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     current = cut(
         pair.where("a <> b").select(F.greatest("a", "b").alias("l"), F.least("a", "b").alias("s")).distinct(), "edges"
     )
     mark = _mark(current)
+    if 0 < mark[0] <= at_once:
+        return current.coalesce(1).mapInPandas(_at_once, "node long, component long")
     for _ in range(max_rounds):
         if not mark[0]:
             break

@@ -13,12 +13,13 @@ from .components import connected_components
 from .skew import join_by_size
 
 _DOCUMENT = 1 << 61
+AT_ONCE = 1_000_000  # edges that one task resolves
 
 
 def entity_document_components(rows: DataFrame, entity: str, document: str) -> DataFrame:
     """Rows with the component of the graph that ties rows by entity and by document; rows are first reduced to distinct edges."""
     edges = rows.select(F.col(entity).alias("src"), (F.col(document) + F.lit(_DOCUMENT)).alias("dst")).distinct()
-    found = connected_components(edges)
+    found = connected_components(edges, at_once=AT_ONCE)
     return rows.join(found.select(F.col("node").alias(entity), "component"), entity, "left")
 
 

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.operators import components, skew, vectors
@@ -32,7 +33,8 @@ def test_lookup_gives_the_plain_join_for_hot_and_cold_keys(spark):
     assert got == {(k, i, 2 * k) for i, k in enumerate(keys)}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components_against_union_find(spark, at_once):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
     edges += [(5000, i) for i in range(6000, 6300)] + [(3, 3), (3, None), (None, 4)] + [(7, 8), (8, 7)]
@@ -52,8 +54,8 @@ def test_components_against_union_find(spark):
         groups[root(x)].add(x)
     want = {(x, min(g)) for g in groups.values() for x in g}
     df = spark.createDataFrame(edges, "src long, dst long")
-    assert {tuple(r) for r in components.connected_components(df).collect()} == want
-    assert components.connected_components(df.limit(0)).count() == 0
+    assert {tuple(r) for r in components.connected_components(df, at_once=at_once).collect()} == want
+    assert components.connected_components(df.limit(0), at_once=at_once).count() == 0
 
 
 def test_top_k_takes_ties_by_id_and_leaves_out_the_query(spark):
