@@ -305,7 +305,7 @@ def parties(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     marked = marked.withColumn("node", _number(F.col("kind"), F.col("key"), F.when(F.col("kind") == "P", F.col("open")).otherwise("")))
     given_ = F.when(F.col("kind") == "P", F.col("open")).otherwise("")
     nodes = cut(marked.groupBy("node", "kind", "key", given_.alias("open")).agg(F.count("*").alias("n_names")), "keys")
-    linked = connected_components(_typos(nodes)).withColumnRenamed("component", "party")
+    linked = connected_components(_typos(nodes), at_once=1_000_000).withColumnRenamed("component", "party")
     known = cut(nodes.join(linked, "node", "left").withColumn("party", F.coalesce("party", "node")), "parties")
 
     # A name read both ways goes where it meets most names.
