@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .skew import spread_join
 
 
 def first_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -53,7 +54,7 @@ def star(mentions: DataFrame, texts: DataFrame, datasets: DataFrame) -> DataFram
 
 def rebuilt_texts(texts: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """``text_id, rebuilt``: masked texts with every mention's surface put back; masks without one stay."""
-    named = mentions.select("text_id", "mask_idx", "entity_id").distinct().join(entities.select(F.col("id").alias("entity_id"), "surface"), "entity_id")
+    named = spread_join(mentions.select("text_id", "mask_idx", "entity_id").distinct(), entities.select(F.col("id").alias("entity_id"), "surface"), "entity_id")
     one = named.groupBy("text_id", "mask_idx").agg(F.min("surface").alias("surface"))
     filled = one.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("mask_idx", "surface"))).alias("m"))
     rows = texts.select(F.col("id").alias("text_id"), "masked_text").where("masked_text IS NOT NULL").join(filled, "text_id", "left")

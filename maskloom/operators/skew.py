@@ -73,6 +73,12 @@ def lookup(rows: DataFrame, by: DataFrame, on: str, weight: str, total: int | No
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
 
 
+def spread_join(rows: DataFrame, by: DataFrame, on: str) -> DataFrame:
+    """``rows`` inner joined with the unique-keyed ``by``, whose keys may be hot in ``rows``: counts them, map-side combined, and goes through ``lookup``."""
+    counts = rows.groupBy(on).agg(F.count("*").alias("_n"))
+    return lookup(rows, by.join(counts, on), on, "_n")
+
+
 def join_by_size(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
     """A join that broadcasts ``small`` only after counting it: up to ``limit`` narrow rows, else both sides are shuffled."""
     return rows.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)

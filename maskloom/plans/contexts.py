@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import contexts as K
+from ..operators.skew import spread_join
 from ..sources.tables import table
 
 
@@ -12,7 +13,7 @@ def _facts(spark, folder):
     m = table(spark, folder, "mentions").groupBy("id").agg(*[F.min(c).alias(c) for c in ("entity_id", "text_id", "mask_idx", "full_context")])
     e = table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "surface")
     t = table(spark, folder, "texts").select(F.col("id").alias("text_id"), "masked_text")
-    return m.join(e, "entity_id").join(t, "text_id")
+    return spread_join(m, e, "entity_id").join(t, "text_id")
 
 
 def _sides(spark, folder):

@@ -128,7 +128,8 @@ def t24_surface_variants(spark, folder):
 
 def t25_types(spark, folder):
     e = table(spark, folder, "entities")
-    return e.groupBy("heuristic_type", R.inferred_type(F.col("surface")).alias("inferred")).agg(F.count("*").alias("n"))
+    s, t = F.col("surface"), F.col("heuristic_type")
+    return e.groupBy("heuristic_type", R.inferred_type(s, t).alias("inferred"), R.inferred_type(s).alias("shown")).agg(F.count("*").alias("n"))
 
 
 def t26_groups(spark, folder):
@@ -197,6 +198,8 @@ def a22_pools(spark, folder):
 
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "mtaslkwjn" and k[1:3].isdigit() and "_" in k}
 
+_SHOWN = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(surface), '{p}') THEN '{k}' END" for k, p in R.TYPE_PATTERNS) + ")"
+
 SQL = {
     "m01_masks": r"""
         SELECT id AS text_id, unnest(range(len(m))) AS mask_idx, unnest(m) AS mask
@@ -269,11 +272,7 @@ SQL = {
           CASE WHEN regexp_matches(surface, '\bProp\. \d') THEN regexp_replace(surface, '\bProp\. ', 'Prop ', 'g') END,
           CASE WHEN contains(surface, ',') AND NOT contains(surface, '.') THEN replace(surface, ',', '') END]) AS variant FROM entities)
         SELECT DISTINCT id, variant FROM v WHERE variant IS NOT NULL AND variant <> s""",
-    "t25_types": r"""
-        SELECT heuristic_type, CASE WHEN regexp_matches(lower(surface), '[$£€]\s*\d|\b(dollars?|euros?|pounds?)\b') THEN 'MONEY' WHEN regexp_matches(lower(surface), '%|\bpercent\b') THEN 'PERCENT'
-          WHEN regexp_matches(lower(surface), '\b(19|20)\d{2}\b') OR regexp_matches(lower(surface), 'january|february|march|april|may|june|july|august|september|october|november|december') THEN 'DATE'
-          WHEN lower(surface) IN ('today','yesterday','tomorrow','tonight','last month','next month') THEN 'DATE' WHEN regexp_matches(lower(surface), '^[\d,.\s]+$') THEN 'CARDINAL' ELSE 'UNTYPED' END AS inferred,
-          count(*) AS n FROM entities GROUP BY ALL""",
+    "t25_types": f"SELECT heuristic_type, coalesce(nullif(heuristic_type, 'UNKNOWN'), {_SHOWN}, heuristic_type, 'UNTYPED') AS inferred, coalesce({_SHOWN}, 'UNTYPED') AS shown, count(*) AS n FROM entities GROUP BY ALL",
     "t26_groups": r"""
         SELECT heuristic_group, CASE WHEN regexp_matches(surface, '\d') THEN 'numeric' WHEN NOT regexp_matches(surface, '\p{L}') THEN 'junk' WHEN upper(surface) = surface AND length(surface) > 1 THEN 'upper'
           WHEN regexp_matches(surface, '(^| )\p{Lu}') THEN 'capitalized' WHEN contains(surface, ' ') THEN 'multiword' ELSE 'lower' END AS written, count(*) AS n FROM entities GROUP BY ALL""",

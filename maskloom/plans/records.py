@@ -7,12 +7,13 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import inventory as inv
 from ..operators import judging as J
+from ..operators.skew import spread_join
 from ..sources.tables import table
 
 
 def _contexts(spark, folder):
     m = table(spark, folder, "mentions").groupBy("id").agg(F.min("entity_id").alias("entity_id"), F.min("full_context").alias("context"))
-    return m.join(table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "surface"), "entity_id")
+    return spread_join(m, table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "surface"), "entity_id")
 
 
 def p01_labels(spark, folder):
@@ -84,10 +85,13 @@ def a25_reasons(spark, folder):
 
 
 def p18_overrides(spark, folder):
-    v = J.votes(table(spark, folder, "judgments")).select("judgment_id", "entity", "candidate", "label")
-    manual = table(spark, folder, "good_candidates").select(F.lower("candidate").alias("c")).distinct().withColumn("manual", F.lit("preserved"))
-    out = v.join(manual, F.lower(v["candidate"]) == F.col("c"), "left")
-    return out.select("judgment_id", F.coalesce("manual", "label").alias("label"), F.col("manual").isNotNull().alias("overridden"))
+    """Labels set by hand for an entity and a candidate, with the reason; of several the alphabetically first reason."""
+    v = J.votes(table(spark, folder, "judgments")).select("judgment_id", "entity_id", F.lower("candidate").alias("c"), "label", "rationale")
+    manual = table(spark, folder, "good_candidates").where("candidate IS NOT NULL").groupBy("entity_id", F.lower("candidate").alias("c"))
+    manual = manual.agg(F.lit("preserved").alias("manual"), F.min("rationale").alias("reason"))
+    out = v.join(manual, ["entity_id", "c"], "left")
+    set_ = F.col("manual").isNotNull()
+    return out.select("judgment_id", F.coalesce("manual", "label").alias("label"), F.when(set_, F.col("reason")).otherwise(F.col("rationale")).alias("rationale"), set_.alias("overridden"))
 
 
 def p13_prompts(spark, folder):
@@ -145,7 +149,8 @@ SQL = {
         SELECT row_number() OVER (ORDER BY priority, judgment_id) AS place, judgment_id, label, priority FROM q ORDER BY priority, judgment_id LIMIT 60""",
     "a04_corpus_summary": "SELECT count(DISTINCT judgment_id) AS rows, count(DISTINCT pair_id) AS pairs, count(DISTINCT entity_id) AS entities, count(DISTINCT lower(candidate)) AS candidates, count(DISTINCT mention_id) AS mentions FROM judgments",
     "a25_reasons": """SELECT dataset_id, CASE WHEN original_text IS NULL AND summary IS NULL THEN 'no_text' WHEN original_text IS NULL THEN 'summary_only' WHEN summary IS NULL THEN 'no_summary' ELSE 'complete' END AS reason, count(*) AS n FROM texts GROUP BY ALL""",
-    "p18_overrides": f"""WITH {_V}, g AS (SELECT DISTINCT lower(candidate) AS c FROM good_candidates) SELECT judgment_id, CASE WHEN c IS NOT NULL THEN 'preserved' ELSE label END AS label, c IS NOT NULL AS overridden FROM v LEFT JOIN g ON c = lower(candidate)""",
+    "p18_overrides": f"""WITH {_V}, g AS (SELECT entity_id, lower(candidate) AS c, min(rationale) AS reason FROM good_candidates WHERE candidate IS NOT NULL GROUP BY ALL)
+        SELECT judgment_id, CASE WHEN g.c IS NOT NULL THEN 'preserved' ELSE label END AS label, CASE WHEN g.c IS NOT NULL THEN reason ELSE rationale END AS rationale, g.c IS NOT NULL AS overridden FROM v LEFT JOIN g ON g.entity_id = v.entity_id AND g.c = lower(v.candidate)""",
     "p13_prompts": """SELECT candidate_id, '{"id":' || candidate_id || ',"candidate":' || to_json(candidate) || ',"relation":' || to_json(relation) || '}' AS prompt FROM (SELECT DISTINCT candidate_id, candidate, relation FROM good_candidates)""",
     "a06_vote_shares": f"WITH {_V} SELECT annotator_id, count(*) FILTER (label = 'preserved') AS preserved, count(*) FILTER (label = 'changed') AS changed, count(*) FILTER (label = 'uncertain') AS uncertain FROM v WHERE label <> 'missing' GROUP BY annotator_id",
     "w01_best_candidate": """SELECT entity_id, candidate_id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, candidate_id) AS r FROM good_candidates WHERE confidence IS NOT NULL AND NOT isnan(confidence)) WHERE r = 1""",
