@@ -46,14 +46,19 @@ def reject_reason(entity: Column, candidate: Column, left: Column, right: Column
     return out
 
 
-def flags(entity: Column, candidate: Column, left: Column) -> Column:
-    """All flags of a row, in a fixed order."""
+def flags(entity: Column, candidate: Column, left: Column, right: Column) -> Column:
+    """All flags of a row whose sides are materialised, in a fixed order."""
+    folded = [F.lower(T.normalize_space(c)) for c in (left, right)]
+    numbers = [F.array_join(N.signature(c), "|") for c in (entity, candidate)]
+    same_value = (numbers[0] == numbers[1]) & (numbers[0] != "")
     return F.array_compact(F.array(
         F.when((F.coalesce(F.trim(entity), F.lit("")) == "") | (F.coalesce(F.trim(candidate), F.lit("")) == ""), "missing_required_field"),
         F.when(same_identity(entity, candidate), "identity_candidate"),
-        F.when((F.array_join(N.signature(entity), "|") == F.array_join(N.signature(candidate), "|")) & (F.size(N.signature(entity)) > 0), "numeric_same_value_format"),
+        F.when(same_value, "numeric_same_value_format"),
+        F.when(folded[0] == folded[1], "identical_model_inputs"),
         F.when(left.isNull(), "target_location_unresolved"),
         F.when(left.isNotNull() & ~F.contains(F.lower(left), F.lower(entity)), "entity_missing_after_materialization"),
+        F.when(right.isNotNull() & ~F.contains(F.lower(right), F.lower(candidate)), "candidate_missing_after_materialization"),
     ))
 
 

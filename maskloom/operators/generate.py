@@ -128,6 +128,11 @@ def weak_reason(surface: Column, candidate: Column, cosine: Column) -> Column:
     )
 
 
+def weak_label(reason: Column) -> Column:
+    """The label that a reason stands for."""
+    return F.when(reason.isin("identity", "morphological_variant", "very_high"), "positive").when(reason == "high", "hard_negative").when(reason == "medium", "medium_negative").otherwise("excluded")
+
+
 def clean_surface(surface: Column) -> Column:
     """A common word fit for substitution: 3 to 64 characters, no digit, no temporal word, at most four words."""
     words = T.tokens(surface)

@@ -41,7 +41,7 @@ def f01_reject_reasons(spark, folder):
 
 
 def f03_flags(spark, folder):
-    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"))
+    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"), T.replace_first(F.col("context"), F.col("entity"), F.col("candidate")))
     rows = _pairs(spark, folder).select(F.explode(found).alias("flag"), (F.size(C.critical(found)) > 0).alias("critical"))
     return rows.groupBy("flag", "critical").agg(F.count("*").alias("n"))
 
@@ -239,11 +239,21 @@ def w04_bucket_quota(spark, folder):
 
 
 def f12_weak_labels(spark, folder):
+    """Neighbours by band of cosine."""
     near = j07_cosine_topk(spark, folder)
     label = F.when(F.col("cosine") >= 0.45, "positive").when(F.col("cosine") >= 0.4, "hard_negative").when(F.col("cosine") >= 0.35, "medium_negative").otherwise("excluded")
     return near.groupBy(label.alias("weak_label")).agg(F.count("*").alias("n"))
 
 
+def f12_weak_reasons(spark, folder):
+    """The whole tree: pairs of judged words with their score for a cosine."""
+    from ..operators import generate as G
+
+    v = J.votes(table(spark, folder, "judgments")).where("score IS NOT NULL AND NOT isnan(score) AND entity IS NOT NULL AND candidate IS NOT NULL")
+    reason = G.weak_reason(F.col("entity"), F.col("candidate"), F.col("score"))
+    return v.groupBy(reason.alias("reason"), G.weak_label(reason).alias("weak_label")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k[0] in "afujtcpw" and k[1:3].isdigit()}
 
 from .judging import _V  # noqa: E402
@@ -291,6 +301,20 @@ _COS = """q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label
   c AS (SELECT query, id, round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)), 6) AS cosine, q.label = e.label AS same FROM q JOIN e ON query <> id)"""
 _TOP = f"{_COS}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank, cosine FROM c)"
 
+
+
+def _morph(x):
+    from ..operators.generate import PLURALS
+
+    return "CASE " + " ".join(f"WHEN ends_with(lower({x}), '{s}') AND length({x}) > {len(s) + 2} THEN substring(lower({x}), 1, length({x}) - {len(s)}) || '{p}'" for s, p in PLURALS.items()) + f" ELSE lower({x}) END"
+
+
+_RIGHT = "CASE WHEN strpos(lower(context), lower(entity)) > 0 AND length(entity) > 0 THEN substring(context, 1, strpos(lower(context), lower(entity)) - 1) || candidate || substring(context, strpos(lower(context), lower(entity)) + length(entity)) ELSE context END"
+_FLAGGED = f"""w AS (SELECT *, {_RIGHT} AS rc FROM p),
+        f AS (SELECT *, coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' AS f1, coalesce({_SAME}, false) AS f2, coalesce({_SIG.format(x="entity")} = {_SIG.format(x="candidate")} AND {_SIG.format(x="entity")} <> '', false) AS f3,
+          coalesce(lower({_NORM.format(x='context')}) = lower({_NORM.format(x='rc')}), false) AS f4, context IS NULL AS f5, coalesce(context IS NOT NULL AND NOT contains(lower(context), lower(entity)), false) AS f6, coalesce(rc IS NOT NULL AND NOT contains(lower(rc), lower(candidate)), false) AS f7 FROM w),
+        x AS (SELECT *, f1 OR f2 OR f4 OR f6 OR f7 AS critical FROM f)"""
+
 SQL = {
     "f01_reject_reasons": f"""WITH {_P}, r AS (SELECT p.*, heuristic_group AS hg, CASE WHEN strpos(lower(context), lower(entity)) > 0 AND length(entity) > 0 THEN substring(context, 1, strpos(lower(context), lower(entity)) - 1) || candidate || substring(context, strpos(lower(context), lower(entity)) + length(entity)) ELSE context END AS rc
           FROM p LEFT JOIN entities e ON e.id = p.entity_id),
@@ -298,9 +322,8 @@ SQL = {
         SELECT CASE WHEN coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' OR coalesce(trim(context), '') = '' OR coalesce(trim(rc), '') = '' OR label NOT IN ('preserved', 'changed') THEN 'invalid_schema_or_label' WHEN {_SAME} THEN 'identity_or_normalized_identity' WHEN l = r THEN 'identical_model_inputs'
           WHEN NOT contains(l, e) THEN 'entity_missing_from_left' WHEN NOT contains(r, c) THEN 'candidate_missing_from_right' WHEN label = 'preserved' AND {_ART.format(x='entity')} IN ('annual', 'biannual', 'biennial') AND {_ART.format(x='candidate')} IN ('annual', 'biannual', 'biennial') THEN 'known_non_equivalent_positive'
           WHEN label = 'preserved' AND hg = 'numeric' AND s1 <> '' AND s2 <> '' AND s1 <> s2 THEN 'numeric_value_changed_positive' ELSE 'valid' END AS reason, count(*) AS n FROM q GROUP BY ALL""",
-    "f03_flags": f"""WITH {_P}, f AS (SELECT coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' AS f1, coalesce({_SAME}, false) AS f2,
-          coalesce({_SIG.format(x="entity")} = {_SIG.format(x="candidate")} AND {_SIG.format(x="entity")} <> '', false) AS f3, context IS NULL AS f4, coalesce(context IS NOT NULL AND NOT contains(lower(context), lower(entity)), false) AS f5 FROM p),
-        g AS (SELECT f1 OR f2 OR f5 AS critical, unnest([CASE WHEN f1 THEN 'missing_required_field' END, CASE WHEN f2 THEN 'identity_candidate' END, CASE WHEN f3 THEN 'numeric_same_value_format' END, CASE WHEN f4 THEN 'target_location_unresolved' END, CASE WHEN f5 THEN 'entity_missing_after_materialization' END]) AS flag FROM f)
+    "f03_flags": f"""WITH {_P}, {_FLAGGED}, g AS (SELECT critical, unnest([CASE WHEN f1 THEN 'missing_required_field' END, CASE WHEN f2 THEN 'identity_candidate' END, CASE WHEN f3 THEN 'numeric_same_value_format' END, CASE WHEN f4 THEN 'identical_model_inputs' END,
+          CASE WHEN f5 THEN 'target_location_unresolved' END, CASE WHEN f6 THEN 'entity_missing_after_materialization' END, CASE WHEN f7 THEN 'candidate_missing_after_materialization' END]) AS flag FROM x)
         SELECT flag, critical, count(*) AS n FROM g WHERE flag IS NOT NULL GROUP BY ALL""",
     "f04_balance": f"""WITH {_V} SELECT coalesce(judge_provider, 'none') AS judge_provider, count(*) AS n, count(DISTINCT label) = 2 AS balanced FROM v WHERE label IN ('preserved', 'changed') GROUP BY 1 HAVING count(*) >= 5""",
     "f06_identity": f"WITH {_P} SELECT pair_id, entity, candidate FROM p WHERE {_SAME}",
@@ -359,5 +382,8 @@ SQL = {
     "w04_bucket_quota": f"""WITH {_TOP}, b AS (SELECT *, CASE WHEN cosine >= 0.45 THEN 'very_high' WHEN cosine >= 0.4 THEN 'high' WHEN cosine >= 0.35 THEN 'middle' END AS bucket FROM t WHERE rank <= 12),
         o AS (SELECT *, row_number() OVER (PARTITION BY least(query, id), greatest(query, id) ORDER BY query, id) AS own FROM b WHERE bucket IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query, bucket ORDER BY cosine DESC, id) AS r FROM o WHERE own = 1)
         SELECT query, id, bucket FROM r WHERE r <= 2""",
+    "f12_weak_reasons": f"""WITH {_V}, k AS (SELECT CASE WHEN lower(entity) = lower(candidate) THEN 'identity' WHEN {_morph('entity')} = {_morph('candidate')} THEN 'morphological_variant' WHEN score >= 0.97 THEN 'very_high' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.82 THEN 'medium' ELSE 'excluded' END AS reason
+          FROM v WHERE NOT isnan(score) AND entity IS NOT NULL AND candidate IS NOT NULL)
+        SELECT reason, CASE WHEN reason IN ('identity', 'morphological_variant', 'very_high') THEN 'positive' WHEN reason = 'high' THEN 'hard_negative' WHEN reason = 'medium' THEN 'medium_negative' ELSE 'excluded' END AS weak_label, count(*) AS n FROM k GROUP BY ALL""",
     "f12_weak_labels": f"""WITH {_TOP} SELECT CASE WHEN cosine >= 0.45 THEN 'positive' WHEN cosine >= 0.4 THEN 'hard_negative' WHEN cosine >= 0.35 THEN 'medium_negative' ELSE 'excluded' END AS weak_label, count(*) AS n FROM t WHERE rank <= 12 GROUP BY ALL""",
 }

@@ -23,11 +23,22 @@ def p01_labels(spark, folder):
 
 
 def p03_normalized(spark, folder):
+    """The canonical row: both sides, label, names, ids, types and sources, blanks as null; rows that lack a side, a name or a label are left out."""
     v = J.votes(table(spark, folder, "judgments")).where("label IN ('preserved', 'changed')")
-    rows = v.join(_contexts(spark, folder).select(F.col("id").alias("mention_id"), "context"), "mention_id")
+    m = table(spark, folder, "mentions").groupBy(F.col("id").alias("mention_id")).agg(F.min("full_context").alias("context"), F.min("text_id").alias("text_id"), F.min("observed_type").alias("observed_type"))
+    e = table(spark, folder, "entities").select(F.col("id").alias("entity_id"), "heuristic_type", "heuristic_group")
+    t = table(spark, folder, "texts").select(F.col("id").alias("text_id"), "dataset_id", "source_id")
+    d = table(spark, folder, "datasets").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset"), "domain")
+    rows = v.join(m, "mention_id").join(e, "entity_id", "left").join(t, "text_id", "left").join(F.broadcast(d), "dataset_id", "left")  # datasets: a fixed small table
+    entity, candidate = (F.nullif(T.normalize_space(F.col(c)), F.lit("")) for c in ("entity", "candidate"))
     right = T.replace_first(F.col("context"), F.col("entity"), F.col("candidate"))
-    out = rows.select("judgment_id", "pair_id", T.normalize_space(F.col("entity")).alias("entity"), T.normalize_space(F.col("candidate")).alias("candidate"), "label", F.md5("context").alias("left_md5"), F.md5(right).alias("right_md5"))
-    return out.where("entity <> '' AND candidate <> '' AND left_md5 IS NOT NULL")
+    out = rows.select(
+        "judgment_id", "pair_id", F.md5("context").alias("left_md5"), F.md5(right).alias("right_md5"), F.when(F.col("label") == "preserved", 1).otherwise(0).cast("long").alias("label"),
+        entity.alias("entity"), candidate.alias("candidate"), "entity_id", F.coalesce("heuristic_type", "observed_type", F.lit("UNKNOWN")).alias("entity_type"),
+        F.coalesce("heuristic_group", F.lit("ambiguous")).alias("coarse_group"), F.lit("judged").alias("pair_kind"), F.coalesce("judge_provider", F.lit("none")).alias("branch"),
+        F.nullif(F.trim("source_id"), F.lit("")).alias("source_id"), "text_id", "mention_id", "dataset", "domain", F.lit("judgments").alias("corpus_source"),
+    )
+    return out.where("entity IS NOT NULL AND candidate IS NOT NULL AND left_md5 IS NOT NULL")
 
 
 def t22_marked(spark, folder):
@@ -129,11 +140,16 @@ def _around(text, needle, middle):
 
 _SPACED = r"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'), ' ')"
 
+_SPACED = r"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
+
 SQL = {
     "p01_labels": f"WITH {_V} SELECT judgment_id, CAST(CASE label WHEN 'preserved' THEN 1 WHEN 'changed' THEN 0 END AS BIGINT) AS label FROM v",
-    "p03_normalized": f"""WITH {_V}, {_X}, r AS (SELECT v.*, context FROM v JOIN x ON x.id = v.mention_id WHERE label IN ('preserved', 'changed')),
-        o AS (SELECT judgment_id, pair_id, {_SPACED.format(x='entity')} AS entity, {_SPACED.format(x='candidate')} AS candidate, label, md5(context) AS left_md5, md5({_around('context', 'entity', 'candidate')}) AS right_md5 FROM r)
-        SELECT * FROM o WHERE entity <> '' AND candidate <> '' AND left_md5 IS NOT NULL""",
+    "p03_normalized": f"""WITH {_V}, m AS (SELECT id AS mention_id, min(full_context) AS context, min(text_id) AS text_id, min(observed_type) AS observed_type FROM mentions GROUP BY id),
+        r AS (SELECT v.*, context, m.text_id, observed_type, heuristic_type, heuristic_group, source_id, d.name AS dataset, domain FROM v JOIN m USING (mention_id) LEFT JOIN entities e ON e.id = v.entity_id LEFT JOIN texts t ON t.id = m.text_id LEFT JOIN datasets d ON d.id = t.dataset_id WHERE label IN ('preserved', 'changed'))
+        SELECT judgment_id, pair_id, md5(context) AS left_md5, md5(CASE WHEN strpos(lower(context), lower(entity)) > 0 AND length(entity) > 0 THEN substring(context, 1, strpos(lower(context), lower(entity)) - 1) || candidate || substring(context, strpos(lower(context), lower(entity)) + length(entity)) ELSE context END) AS right_md5,
+          CASE WHEN label = 'preserved' THEN 1 ELSE 0 END::BIGINT AS label, nullif({_SPACED.format(x='entity')}, '') AS entity, nullif({_SPACED.format(x='candidate')}, '') AS candidate, entity_id, coalesce(heuristic_type, observed_type, 'UNKNOWN') AS entity_type, coalesce(heuristic_group, 'ambiguous') AS coarse_group,
+          'judged' AS pair_kind, coalesce(judge_provider, 'none') AS branch, nullif(trim(source_id, ' '), '') AS source_id, text_id, mention_id, dataset, domain, 'judgments' AS corpus_source FROM r
+        WHERE nullif({_SPACED.format(x='entity')}, '') IS NOT NULL AND nullif({_SPACED.format(x='candidate')}, '') IS NOT NULL AND context IS NOT NULL""",
     "t22_marked": f"WITH {_X} SELECT id, md5({_around('context', 'surface', chr(39) + '[' + chr(39) + ' || {found} || ' + chr(39) + ']' + chr(39))}) AS md5 FROM x",
     "t11_replaced": f"WITH {_X} SELECT id, md5({_around('context', 'surface', chr(39) + 'X' + chr(39))}) AS md5 FROM x",
     "t10_nth_literal": """WITH p AS (SELECT id, string_split(original_text, ' the ') AS p FROM texts WHERE original_text IS NOT NULL)

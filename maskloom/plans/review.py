@@ -47,7 +47,7 @@ def f05_gate(spark, folder):
     """One row: critical rows, groups without both labels, the exit code and what to do."""
     from ..operators import cleaning as C
 
-    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"))
+    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"), T.replace_first(F.col("context"), F.col("entity"), F.col("candidate")))
     rows = _pairs(spark, folder)
     critical = rows.agg(F.count_if(F.size(C.critical(found)) > 0).alias("n_critical"), F.count("*").alias("n_rows"))
     groups = C.balance(rows.withColumn("judge_provider", F.coalesce("judge_provider", F.lit("none"))), "judge_provider", "label", 5)
@@ -61,7 +61,7 @@ def a07_audit(spark, folder):
     from ..operators import cleaning as C
 
     rows = _pairs(spark, folder).withColumn("judge_provider", F.coalesce("judge_provider", F.lit("none")))
-    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"))
+    found = C.flags(F.col("entity"), F.col("candidate"), F.col("context"), T.replace_first(F.col("context"), F.col("entity"), F.col("candidate")))
     return rows.groupBy("judge_provider").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == "preserved").alias("n_preserved"), F.count_if(F.col("label") == "changed").alias("n_changed"),
         F.count_if(C.same_identity(F.col("entity"), F.col("candidate"))).alias("n_identity"), F.count_if(F.size(C.critical(found)) > 0).alias("n_critical"),
@@ -238,7 +238,7 @@ def j08_lexicon_topk(spark, folder):
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "aftpwnljm" and k[1:3].isdigit()}
 
 from .judging import SQL as _JS, _D, _V, ranking_sql  # noqa: E402
-from .quality import _COS, _P, _SCORES, _SAME, _SIG, _T, _metric  # noqa: E402
+from .quality import _COS, _FLAGGED, _P, _SCORES, _SAME, _T, _metric  # noqa: E402
 
 _NORM = r"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 _KEY = r"regexp_replace(lower(" + _NORM + r"), '[^\p{{L}}\p{{N}}_%$£€]+', '', 'g')"
@@ -261,7 +261,6 @@ _NAMED = f"""g AS (SELECT candidate_id, min(entity_id) AS entity_id, min(candida
             ELSE o + CASE WHEN len(list_filter(common, lambda r: r NOT IN ('department_agency', 'nonprofit_association', 'other'))) > 0 THEN 0.45 WHEN len(common) > 0 AND NOT list_contains(common, 'other') THEN 0.18 ELSE 0 END
               - CASE WHEN coalesce(t = 'ORG', false) AND len(list_filter(common, lambda r: r <> 'department_agency')) = 0 THEN 0.2 ELSE 0 END - CASE WHEN ra = ['other'] AND rb = ['other'] AND o < 0.18 THEN 0.2 ELSE 0 END END AS score,
           len(wa) > 0 AND len(wb) > 0 AND ((coalesce(t = 'PERSON', false) AND (len(list_intersect(wa, wb)) = len(wa) OR len(list_intersect(wa, wb)) = len(wb))) OR (pa <> '' AND pb <> '' AND (contains(pa, pb) OR contains(pb, pa)) AND o >= 0.5)) AS same FROM z)"""
-_FLAGS = f"""x AS (SELECT *, coalesce(trim(entity), '') = '' OR coalesce(trim(candidate), '') = '' OR coalesce({_SAME}, false) OR coalesce(context IS NOT NULL AND NOT contains(lower(context), lower(entity)), false) AS critical FROM p)"""
 _LOCAL = "coalesce(CASE label WHEN 'preserved' THEN 1 WHEN 'changed' THEN 0 END, CASE WHEN lower(entity) = lower(candidate) THEN 1 END, CASE WHEN score IN (0.0, 1.0) THEN CAST(score AS INT) END)"
 
 SQL = {
@@ -274,10 +273,10 @@ SQL = {
         FROM entities WHERE heuristic_group = 'proper_name' AND surface IS NOT NULL""",
     "f02_known_pairs": "WITH l(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in NOT_EQUIVALENT) + f"""), r AS (SELECT entity, candidate FROM judgments WHERE entity IS NOT NULL AND candidate IS NOT NULL UNION SELECT a, b FROM l UNION SELECT b, a FROM l)
         SELECT entity, candidate, EXISTS (SELECT 1 FROM l WHERE (l.a = {_ART.format(x='entity')} AND l.b = {_ART.format(x='candidate')}) OR (l.b = {_ART.format(x='entity')} AND l.a = {_ART.format(x='candidate')})) AS known FROM r""",
-    "f05_gate": f"""WITH {_P}, {_FLAGS}, u AS (SELECT count(*) FILTER (n < 2) AS n FROM (SELECT pr, count(DISTINCT label) AS n FROM (SELECT p.label, coalesce((SELECT min(judge_provider) FROM v WHERE v.pair_id = p.pair_id), 'none') AS pr FROM p) WHERE label IN ('preserved', 'changed') GROUP BY pr HAVING count(*) >= 5)),
+    "f05_gate": f"""WITH {_P}, {_FLAGGED}, u AS (SELECT count(*) FILTER (n < 2) AS n FROM (SELECT pr, count(DISTINCT label) AS n FROM (SELECT p.label, coalesce((SELECT min(judge_provider) FROM v WHERE v.pair_id = p.pair_id), 'none') AS pr FROM p) WHERE label IN ('preserved', 'changed') GROUP BY pr HAVING count(*) >= 5)),
         c AS (SELECT count(*) AS r, count(*) FILTER (critical) AS k FROM x)
         SELECT r AS n_rows, k AS n_critical, n AS n_unbalanced, CASE WHEN k > 0 OR n > 0 THEN 3 ELSE 0 END::BIGINT AS exit_code, CASE WHEN k > 0 OR n > 0 THEN 'fix_or_drop_flagged_rows' ELSE 'ready' END AS recommendation FROM c, u""",
-    "a07_audit": f"""WITH {_P}, {_FLAGS}, y AS (SELECT x.*, coalesce((SELECT min(judge_provider) FROM v WHERE v.pair_id = x.pair_id), 'none') AS pr FROM x)
+    "a07_audit": f"""WITH {_P}, {_FLAGGED}, y AS (SELECT x.*, coalesce((SELECT min(judge_provider) FROM v WHERE v.pair_id = x.pair_id), 'none') AS pr FROM x)
         SELECT pr AS judge_provider, count(*) AS n, count(*) FILTER (label = 'preserved') AS n_preserved, count(*) FILTER (label = 'changed') AS n_changed, count(*) FILTER ({_SAME}) AS n_identity, count(*) FILTER (critical) AS n_critical, count(*) FILTER (context IS NULL) AS n_without_context FROM y GROUP BY pr""",
     "a06_expected": f"""WITH {_V}, k AS (SELECT label, CASE WHEN score >= 0.9 THEN 'preserved' WHEN score <= 0.1 THEN 'changed' END AS e FROM v WHERE NOT isnan(score) AND label <> 'missing')
         SELECT coalesce(e, 'all') AS expected, count(*) AS n, count(*) FILTER (e = label) AS n_matching FROM k WHERE e IS NOT NULL GROUP BY e
