@@ -138,3 +138,55 @@ def clean_surface(surface: Column) -> Column:
     words = T.tokens(surface)
     temporal = F.array(*[F.lit(x) for x in (*R.MONTHS, "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "today", "yesterday", "tomorrow", "week", "year")])
     return F.length(surface).between(3, 64) & ~surface.rlike(r"\d") & ~F.arrays_overlap(words, temporal) & F.size(words).between(1, 4)
+
+
+# Words that name nothing in particular, words a name does not begin with, number words, times of day and year.
+GENERIC = "more less other same this that these those something anything everything someone anyone people".split()
+LEADING = (
+    "a an the this that these those my your his her its our their some any each every either neither many much few several all both another as"
+).split()
+NUMBERS = (
+    r"\b(zeros?|ones?|twos?|threes?|four(s|ths)?|fives?|six(es|ths)?|seven(s|ths)?|eight(s|hs)?|nine(s|ths)?|ten(s|ths)?|eleven(s|ths)?|twelve(s|ths)?|thirteen|fourteen|fifteen|sixteen|"
+    r"seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|trillion|dozen|half|quarter|hundredth|thousandth|millionth|billionth)\b"
+)
+TIMES = r"\b(age|today|tomorrow|yesterday|morning|afternoon|evening|night|weekend|weekday|semester|daily|weekly|monthly|annual|annually|quarterly)\b"
+POLAR = r"^(anti|pro|non|un|pre|post|ex|pan|sub)-"
+SHAPE = r"^[a-z]+(?:['-][a-z]+)*(?: [a-z]+(?:['-][a-z]+)*){0,3}$"
+# Units and times; both their singular and their plural are no names.
+UNITS = (
+    "second minute hour day week month year decade age weekend weekday night morning afternoon evening meter metre mile inch kilometer kilometre gram kilogram pound dollar euro "
+    "million billion trillion hundred thousand gallon millimeter millimetre centimeter centimetre ton holiday moment"
+).split()
+
+
+def strict_surface(surface: Column, not_lexical: tuple[str, ...] = ()) -> Column:
+    """A clean common word that is also lexical: lower-case words, at most four, none of them a unit, a time, a number or in ``not_lexical``."""
+    x = T.normalize_space(surface)
+    words = F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0))
+    barred = F.array(*[F.lit(w) for w in sorted({*UNITS, *(u + "s" for u in UNITS), *not_lexical})])
+    low = F.lower(x)
+    return (
+        F.length(x).between(3, 64) & ~x.rlike(r"\d") & ~low.rlike(NUMBERS) & ~low.rlike(TIMES) & ~low.isin(*GENERIC) & (x == low) & x.rlike(SHAPE)
+        & ~F.coalesce(F.get(words, F.lit(0)).isin(*LEADING), F.lit(True)) & ~F.arrays_overlap(words, barred) & ~x.rlike(POLAR)
+    )
+
+
+def simple_inflection(a: Column, b: Column) -> Column:
+    """One single word is the plural of the other: s, es, y to ies, f to ves."""
+    x, y = F.lower(T.normalize_space(a)), F.lower(T.normalize_space(b))
+
+    def plural(one: Column, many: Column) -> Column:
+        stem = F.substring(one, F.lit(1), F.length(one) - 1)
+        return (
+            (many == F.concat(one, F.lit("s"))) | (many == F.concat(one, F.lit("es")))
+            | (F.endswith(one, F.lit("y")) & (many == F.concat(stem, F.lit("ies")))) | (F.endswith(one, F.lit("f")) & (many == F.concat(stem, F.lit("ves"))))
+        )
+
+    return ~x.contains(" ") & ~y.contains(" ") & (plural(x, y) | plural(y, x))
+
+
+def sampled_pool(entities: DataFrame, per_entity: int = 3, seed: str = "19") -> DataFrame:
+    """``entity_id, candidate_id``: of the ``3 * per_entity`` closest names of each, ``per_entity`` in the order of a hash."""
+    head = proper_pool(entities, 3 * per_entity)
+    draw = F.sha1(F.concat_ws("|", F.lit(seed), F.col("entity_id").cast("string"), F.col("candidate_id").cast("string")))
+    return top_per_group(head.drop("rank"), ["entity_id"], per_entity, draw, F.col("candidate_id")).select("entity_id", "candidate_id")

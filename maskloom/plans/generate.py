@@ -43,6 +43,23 @@ def f14_morphology(spark, folder):
     return e.select("id", G.morphology_key(F.col("surface")).alias("key"))
 
 
+def f07_strict_surfaces(spark, folder):
+    e = table(spark, folder, "entities").where("surface IS NOT NULL")
+    return e.select("id", G.strict_surface(F.col("surface")).alias("strict"))
+
+
+def f13_inflections(spark, folder):
+    """Judged pairs of words and plurals, with each surface and its plural beside them."""
+    e = table(spark, folder, "entities").where("surface IS NOT NULL").select(F.col("surface").alias("entity"), F.concat("surface", F.lit("s")).alias("candidate"))
+    j = table(spark, folder, "judgments").select("entity", "candidate").where("entity IS NOT NULL AND candidate IS NOT NULL")
+    rows = e.unionByName(j).distinct()
+    return rows.select("entity", "candidate", G.simple_inflection(F.col("entity"), F.col("candidate")).alias("inflection"))
+
+
+def j19_sampled_pool(spark, folder):
+    return G.sampled_pool(table(spark, folder, "entities"))
+
+
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "gjf" and k[1:3].isdigit()}
 
 from .inventory import SQL as _I  # noqa: E402
@@ -61,6 +78,22 @@ _MORPH = "CASE " + " ".join(
 ) + " ELSE lower(surface) END"
 _TEMPORAL = "['" + "','".join("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday today yesterday tomorrow week year".split()) + "']"
 
+_POOL = r"""WITH e AS (SELECT id, heuristic_type AS t, list_distinct(regexp_extract_all(lower(surface), '[\p{L}\p{N}]+')) AS w FROM entities WHERE heuristic_group = 'proper_name'),
+        x AS (SELECT id, t, w, unnest(w) AS word FROM e), k AS (SELECT * FROM x),
+        p AS (SELECT DISTINCT a.id AS entity_id, b.id AS candidate_id, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS score FROM k a JOIN k b ON a.t = b.t AND a.word = b.word AND a.id <> b.id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, candidate_id) AS rank FROM p WHERE score >= 0.18) SELECT * FROM o WHERE rank <= 3"""
+_SPACED = r"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
+
+
+def _listed(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _plural(one, many):
+    stem = f"substring({one}, 1, length({one}) - 1)"
+    return f"({many} = {one} || 's' OR {many} = {one} || 'es' OR (ends_with({one}, 'y') AND {many} = {stem} || 'ies') OR (ends_with({one}, 'f') AND {many} = {stem} || 'ves'))"
+
+
 SQL = {
     "g02_augment": f"""WITH {_X._INDEX}, per AS (
           SELECT id AS entity_id, 0 AS o, 'positive_identity' AS k, 1 AS label, surface AS c FROM entities UNION ALL SELECT id, 1, 'positive_surface', 1, variant FROM ({_I['t24_surface_variants']})
@@ -74,10 +107,15 @@ SQL = {
     "g07_numeric": f"""WITH v AS (SELECT id, 'numeric_equivalent_format' AS kind, unnest((string_split(variants, '|'))[1:1]) AS candidate FROM ({_X.EQUIVALENT.replace("{source}", _TYPED)} SELECT * FROM z) WHERE variants <> ''
           UNION ALL SELECT id, 'numeric_close_changed', unnest((string_split(variants, '|'))[1:2]) FROM ({_X.CHANGED.replace("{source}", _TYPED)} SELECT * FROM z) WHERE variants <> '')
         SELECT m.id AS mention_id, candidate, kind FROM (SELECT DISTINCT id, entity_id FROM mentions) m JOIN v ON v.id = m.entity_id""",
-    "g08_proper_pool": r"""WITH e AS (SELECT id, heuristic_type AS t, list_distinct(regexp_extract_all(lower(surface), '[\p{L}\p{N}]+')) AS w FROM entities WHERE heuristic_group = 'proper_name'),
-        x AS (SELECT id, t, w, unnest(w) AS word FROM e), k AS (SELECT * FROM x),
-        p AS (SELECT DISTINCT a.id AS entity_id, b.id AS candidate_id, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS score FROM k a JOIN k b ON a.t = b.t AND a.word = b.word AND a.id <> b.id),
-        o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, candidate_id) AS rank FROM p WHERE score >= 0.18) SELECT * FROM o WHERE rank <= 3""",
+    "g08_proper_pool": _POOL,
+    "f07_strict_surfaces": f"""WITH b AS (SELECT id, {_SPACED.format(x='surface')} AS x FROM entities WHERE surface IS NOT NULL), k AS (SELECT *, regexp_extract_all(x, '[a-z]+') AS w FROM b)
+        SELECT id, length(x) BETWEEN 3 AND 64 AND NOT regexp_matches(x, '\\d') AND NOT regexp_matches(lower(x), '{G.NUMBERS}') AND NOT regexp_matches(lower(x), '{G.TIMES}') AND lower(x) NOT IN ({_listed(G.GENERIC)}) AND x = lower(x) AND regexp_matches(x, '{G.SHAPE.replace("'", "''")}')
+          AND len(w) > 0 AND w[1] NOT IN ({_listed(G.LEADING)}) AND NOT list_has_any(w, [{_listed([*G.UNITS, *(u + "s" for u in G.UNITS)])}]) AND NOT regexp_matches(x, '{G.POLAR}') AS strict FROM k""".replace("len(w) > 0 AND w[1]", "coalesce(w[1], 'the')"),
+    "f13_inflections": f"""WITH r AS (SELECT surface AS entity, surface || 's' AS candidate FROM entities WHERE surface IS NOT NULL UNION SELECT entity, candidate FROM judgments WHERE entity IS NOT NULL AND candidate IS NOT NULL),
+        k AS (SELECT *, lower({_SPACED.format(x='entity')}) AS x, lower({_SPACED.format(x='candidate')}) AS y FROM r)
+        SELECT entity, candidate, NOT contains(x, ' ') AND NOT contains(y, ' ') AND ({_plural('x', 'y')} OR {_plural('y', 'x')}) AS inflection FROM k""",
+    "j19_sampled_pool": """WITH h AS (""" + _POOL.replace("WHERE rank <= 3", "WHERE rank <= 9") + """), o AS (SELECT entity_id, candidate_id, row_number() OVER (PARTITION BY entity_id ORDER BY sha1('19|' || entity_id || '|' || candidate_id), candidate_id) AS r FROM h)
+        SELECT entity_id, candidate_id FROM o WHERE r <= 3""",
     "j13_synonyms": f"WITH {_LEX}, w AS (SELECT DISTINCT lower(surface) AS word FROM entities) {_SYN}",
     "j12_shared_sense": f"WITH {_LEX}, w AS (SELECT DISTINCT lower(entity) AS word, lower(candidate) AS candidate FROM judgments) SELECT w.* FROM w WHERE word <> candidate AND EXISTS (SELECT 1 FROM lex a JOIN lex b USING (sense) WHERE a.word = w.word AND b.word = w.candidate)",
     "f07_clean_surfaces": rf"""SELECT heuristic_group, count(*) AS n, count(*) FILTER (length(surface) BETWEEN 3 AND 64 AND NOT regexp_matches(surface, '\d') AND NOT list_has_any(regexp_extract_all(lower(surface), '[\p{{L}}\p{{N}}]+'), {_TEMPORAL})
