@@ -184,8 +184,12 @@ class Spellings:
         return self.seen[word]
 
 
-def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellings | None = None) -> float:
-    """Best local alignment score of a passage, whose words have a ``value`` each, and a stretch of a document."""
+def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellings | None = None, need: float = 0.0) -> float:
+    """Best local alignment score of a passage, whose words have a ``value`` each, and a stretch of a document.
+
+    0 without aligning where the score stays below ``need`` whatever the order: a word of the passage counts once at most, and only
+    if the stretch has it or a word one edit away.
+    """
     spellings = spellings or Spellings(item)
     number = spellings.number
     codes, degree = np.empty(len(doc), np.int64), np.ones(len(doc))
@@ -194,6 +198,10 @@ def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellin
             codes[j] = number[w]
         else:
             codes[j], degree[j] = spellings.near(w), ALIKE
+    there = np.zeros(len(number) + 1, bool)
+    there[codes] = True  # -1, a word of another kind, is the last
+    if value[there[[number[w] for w in item]]].sum() < need:
+        return 0.0
     best, h = 0.0, np.zeros(len(doc) + 1)
     slope = GAP * np.arange(len(doc) + 1)
     for i, w in enumerate(item):
@@ -220,7 +228,7 @@ def _aligned(least: float):
                     value = worth(blank, common)
                     known[item] = (list(passage), value, Spellings(list(passage)), min(least, SHORT * float(value.sum())))
                 words_, value, spellings, need = known[item]
-                score = align(words_, value, list(said), spellings)
+                score = align(words_, value, list(said), spellings, need)
                 if score >= need:
                     out.append((doc, item, score))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score"])
