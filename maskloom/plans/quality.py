@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import judging as J

@@ -143,3 +143,24 @@ def test_proper_pool_loses_no_common_word(spark):
             best.setdefault(a, []).append((-round(len(x & y) / len(x | y), 6), b))
     assert got == {(a, b, -s, r) for a, found in best.items() for r, (s, b) in enumerate(sorted(found)[:3], 1)}
     assert len(best) > 100
+
+
+def test_a_hot_key_is_spread_over_all_tasks(spark):
+    rows = spark.range(40000).repartition(8).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+    by = rows.select("k").distinct().withColumn("name", F.concat(F.lit("n"), "k"))
+    out = skew.spread_join(rows, by, "k")
+    assert out.count() == 40000 and out.where("name <> concat('n', k)").count() == 0
+    hot = [r["count"] for r in out.where("k = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(hot) >= 4 and max(hot) <= 3 * sorted(hot)[len(hot) // 2]
+
+
+def test_ranking_pairs_meet_only_their_negatives(spark):
+    from maskloom.operators import judging
+
+    rows = [(f"p{i}", "preserved", 1) for i in range(50)] + [(f"n{i}", "changed", 1) for i in range(300)] + [("q", "preserved", 2), ("r", "changed", 2), ("s", "preserved", 3)]
+    df = spark.createDataFrame(rows, "pair_id string, label string, g int")
+    got = judging.ranking_pairs(df, "g").collect()
+    per = collections.Counter(r["positive"] for r in got)
+    assert per == {**{f"p{i}": 4 for i in range(50)}, "q": 1} and len({r["ranking_id"] for r in got}) == len(got)
+    assert len({r["negative"] for r in got if r["g"] == 1}) > 100
+    assert sorted(map(tuple, got)) == sorted(map(tuple, judging.ranking_pairs(df.repartition(7), "g").collect()))
