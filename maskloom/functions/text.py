@@ -127,6 +127,12 @@ def mark_first(x: Column, needle: Column) -> Column:
     return F.when(found.isNotNull(), F.concat(before, F.lit("["), found, F.lit("]"), after)).otherwise(x)
 
 
+def tagged_first(x: Column, needle: Column, start: str, end: str) -> Column:
+    """The first occurrence between two tags; the text itself without one."""
+    before, found, after = _around(x, needle)
+    return F.when(found.isNotNull(), F.concat(before, F.lit(start + " "), found, F.lit(" " + end), after)).otherwise(x)
+
+
 def replace_nth(x: Column, needle: Column, n: Column, value: Column) -> Column:
     """The n-th exact occurrence (from 0) replaced; null if there are fewer."""
     parts = F.split(x, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
@@ -149,16 +155,21 @@ def differing_span(a: Column, b: Column) -> Column:
     return F.struct(F.substring(a, prefix + 1, F.length(a) - prefix - suffix).alias("left"), F.substring(b, prefix + 1, F.length(b) - prefix - suffix).alias("right"))
 
 
+def folded_space(x: Column) -> Column:
+    """Lower case, runs of white space to one space: by which model inputs are compared."""
+    return F.lower(normalize_space(x))
+
+
 def matching_occurrence(x: Column, needle: Column, value: Column, target: Column) -> Column:
-    """The first exact occurrence replaced with which the text becomes ``target`` (by ``norm_key``); null if none does."""
+    """The first exact occurrence replaced with which the text becomes ``target`` but for case and spaces; null if none does."""
     parts = F.split(x, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
-    want = norm_key(target)
+    want = folded_space(target)
 
     def filled(i: Column) -> Column:
         return F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.when(k == i, value).when(k < F.size(parts) - 1, needle).otherwise(""))), "")
 
     tried = F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>")), filled)
-    found = F.get(F.filter(tried, lambda t: norm_key(t) == want), F.lit(0))
+    found = F.get(F.filter(tried, lambda t: folded_space(t) == want), F.lit(0))
     return F.when(needle != "", found)
 
 

@@ -23,8 +23,8 @@ def materialized(left: Column, right: Column, entity: Column, candidate: Column,
     """
     left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
     entity, candidate = F.coalesce(entity, F.lit("")), F.coalesce(candidate, F.lit(""))
-    want = T.norm_key(right)
-    fitting = F.get(F.filter(_mask_places(left), lambda i: T.norm_key(T.replace_nth_mask(left, i, candidate)) == want), F.lit(0))
+    want = T.folded_space(right)
+    fitting = F.get(F.filter(_mask_places(left), lambda i: T.folded_space(T.replace_nth_mask(left, i, candidate)) == want), F.lit(0))
     stated = F.when((mask_idx >= 0) & (mask_idx < T.count_masks(left)), mask_idx.cast("int"))
     masked = (T.count_masks(left) > 0) & (candidate != "")
     both = (entity != "") & (candidate != "")
@@ -57,3 +57,24 @@ def pair_budget(left: Column, right: Column, entity: Column, candidate: Column,
         return F.struct(one.alias("left"), T.token_budget(right, candidate, F.lit(budget) - used).alias("right"))
 
     return T.let(T.token_budget(left, entity, F.lit(budget // 2)), rest)
+
+
+# The question of the entity view.
+QUESTION = "Question: does replacing the original entity with the candidate preserve the factual meaning?"
+
+
+def views(left: Column, right: Column, entity: Column, candidate: Column) -> Column:
+    """Array of structs ``mode, first, second``: the four ways in which a pair is shown to a model.
+
+    Both sides as they are; both with their name between tags; the left side and a question about the two names; the left side
+    with its name masked and the two names.
+    """
+    names = F.concat(F.lit("Original entity: "), F.coalesce(entity, F.lit("")), F.lit("\nCandidate entity: "), F.coalesce(candidate, F.lit("")))
+
+    def one(mode: str, first: Column, second: Column) -> Column:
+        return F.struct(F.lit(mode).alias("mode"), first.alias("first"), second.alias("second"))
+
+    return F.array(
+        one("pair", left, right), one("marked_pair", T.tagged_first(left, entity, "[E1]", "[/E1]"), T.tagged_first(right, candidate, "[E2]", "[/E2]")),
+        one("entity_query", left, F.concat(names, F.lit("\n" + QUESTION))), one("masked_query", T.replace_first(left, entity, F.lit("[TGT]")), names),
+    )

@@ -82,11 +82,31 @@ def t33_pair_budget(spark, folder):
     return rows.select("id", F.md5("x.left").alias("left_md5"), F.md5("x.right").alias("right_md5"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] == "t" and k[1:3].isdigit()}
+def p15_views(spark, folder):
+    v = K.views(F.col("left"), F.col("right"), F.col("entity"), F.col("candidate"))
+    rows = _sides(spark, folder).select("pair_id", F.inline(v))
+    return rows.select("pair_id", "mode", F.md5("first").alias("first_md5"), F.md5("second").alias("second_md5"))
+
+
+def a09_model_inputs(spark, folder):
+    """Judgments with the same sides and names count once; those with contradictory labels not at all."""
+    from ..operators import cleaning as C
+    from ..operators import judging as J
+
+    v = J.votes(table(spark, folder, "judgments")).where("label IN ('preserved', 'changed')").select("pair_id", "judgment_id", "label")
+    rows = _sides(spark, folder).join(v, "pair_id")
+    keys = {c: F.md5(T.folded_space(F.col(c))) for c in ("left", "right", "entity", "candidate")}
+    found = C.resolved(rows.select(*[k.alias(c) for c, k in keys.items()], "label", "judgment_id"), list(keys), "label", ["judgment_id"])
+    return found.groupBy("status").agg(F.count("*").alias("n_inputs"), F.sum("n_rows").alias("n_rows"))
+
+
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "tpa" and k[1:3].isdigit()}
+
+from .judging import _V  # noqa: E402
 
 _M = r"(?i)[<\[](?:ent_)?mask[>\]]"
 _NORM = r"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
-_KEY = r"regexp_replace(lower(" + _NORM + r"), '[^\p{{L}}\p{{N}}_%$£€]+', '', 'g')"
+_KEY = "lower(" + _NORM + ")"
 _FACTS = """m AS (SELECT id, min(entity_id) AS entity_id, min(text_id) AS text_id, min(mask_idx) AS mask_idx, min(full_context) AS full_context FROM mentions GROUP BY id),
         f AS (SELECT m.*, surface, masked_text FROM m JOIN entities e ON e.id = m.entity_id JOIN texts t ON t.id = m.text_id)"""
 
@@ -120,7 +140,23 @@ _MARKED = """k AS (SELECT *, strpos(lower(x), lower(n)) AS pos FROM g), q AS (SE
         u AS (SELECT *, budget - len(b) AS room FROM r), v AS (SELECT *, least(len(a), greatest(CAST(floor(room / 2) AS BIGINT), room - len(c))) AS before FROM u),
         o AS (SELECT id, CASE WHEN hit AND room >= 0 THEN array_to_string(list_concat(CASE WHEN before > 0 THEN a[len(a) - before + 1:len(a)] ELSE [] END, b, c[1:least(len(c), room - before)]), ' ') ELSE array_to_string(w[1:budget], ' ') END AS t FROM v)"""
 
+
+
+def _tagged(x, needle, start, end):
+    pos = f"strpos(lower({x}), lower({needle}))"
+    return f"CASE WHEN {pos} > 0 AND length({needle}) > 0 THEN substring({x}, 1, {pos} - 1) || '{start} ' || substring({x}, {pos}, length({needle})) || ' {end}' || substring({x}, {pos} + length({needle})) ELSE {x} END"
+
+
+_NAMES = "'Original entity: ' || coalesce(e, '') || chr(10) || 'Candidate entity: ' || coalesce(c, '')"
+
 SQL = {
+    "p15_views": f"""WITH {_SIDES}, w AS (SELECT pair_id, "left" AS l, "right" AS r, entity AS e, candidate AS c FROM s), u AS (
+          SELECT pair_id, 'pair' AS mode, l AS x, r AS y FROM w UNION ALL SELECT pair_id, 'marked_pair', {_tagged('l', 'e', '[E1]', '[/E1]')}, {_tagged('r', 'c', '[E2]', '[/E2]')} FROM w
+          UNION ALL SELECT pair_id, 'entity_query', l, {_NAMES} || chr(10) || '{K.QUESTION}' FROM w UNION ALL SELECT pair_id, 'masked_query', {_first('l', 'e', "'[TGT]'")}, {_NAMES} FROM w)
+        SELECT pair_id, mode, md5(x) AS first_md5, md5(y) AS second_md5 FROM u""",
+    "a09_model_inputs": f"""WITH {_SIDES}, {_V}, w AS (SELECT s.*, v.label FROM s JOIN v USING (pair_id) WHERE v.label IN ('preserved', 'changed')),
+        g AS (SELECT {_KEY.format(x='"left"')} AS l, {_KEY.format(x='"right"')} AS r, {_KEY.format(x='entity')} AS e, {_KEY.format(x='candidate')} AS c, count(*) AS n, count(DISTINCT label) AS k FROM w GROUP BY 1, 2, 3, 4)
+        SELECT CASE WHEN k = 1 THEN 'kept' ELSE 'conflict' END AS status, count(*) AS n_inputs, CAST(sum(n) AS BIGINT) AS n_rows FROM g GROUP BY 1""",
     "t13_materialized": rf"""WITH {_SIDES}, w AS (SELECT pair_id, coalesce("left", '') AS l, coalesce("right", '') AS r, coalesce(entity, '') AS e, coalesce(candidate, '') AS c, mask_idx FROM s),
         x AS (SELECT *, list_filter(range(0, {_COUNT}), lambda n: {_KEY.format(x=_nth_mask('l', 'n', 'c'))} = {_KEY.format(x='r')})[1] AS fit, {_matching('r', 'c', 'e', 'l')} AS by_c, {_matching('l', 'e', 'c', 'r')} AS by_e FROM w),
         y AS (SELECT *, CASE WHEN {_COUNT} > 0 AND c <> '' AND fit IS NOT NULL THEN 'mask_diff:' || fit WHEN {_COUNT} > 0 AND c <> '' AND mask_idx >= 0 AND mask_idx < {_COUNT} THEN 'mask_idx_fallback:' || mask_idx
