@@ -184,36 +184,46 @@ class Spellings:
         return self.seen[word]
 
 
-def align(item: list[str], value: np.ndarray, doc: list[str], spellings: Spellings | None = None, need: float = 0.0) -> float:
-    """Best local alignment score of a passage, whose words have a ``value`` each, and a stretch of a document.
+def align(item: list[str], value: np.ndarray, docs: list[list[str]], spellings: Spellings | None = None) -> np.ndarray:
+    """Best local alignment score of a passage, whose words have a ``value`` each, with each of several stretches of documents.
 
-    0 without aligning where the score stays below ``need`` whatever the order: a word of the passage counts once at most, and only
-    if the stretch has it or a word one edit away.
+    The stretches are aligned side by side, shorter ones filled up with words that match nothing.
     """
     spellings = spellings or Spellings(item)
     number = spellings.number
-    codes, degree = np.empty(len(doc), np.int64), np.ones(len(doc))
-    for j, w in enumerate(doc):
-        if w in number:
-            codes[j] = number[w]
-        else:
-            codes[j], degree[j] = spellings.near(w), ALIKE
-    there = np.zeros(len(number) + 1, bool)
-    there[codes] = True  # -1, a word of another kind, is the last
-    if value[there[[number[w] for w in item]]].sum() < need:
-        return 0.0
-    best, h = 0.0, np.zeros(len(doc) + 1)
-    slope = GAP * np.arange(len(doc) + 1)
+    width = max((len(d) for d in docs), default=0)
+    codes, degree = np.full((len(docs), width), -1), np.ones((len(docs), width))
+    for k, doc in enumerate(docs):
+        for j, w in enumerate(doc):
+            if w in number:
+                codes[k, j] = number[w]
+            else:
+                codes[k, j], degree[k, j] = spellings.near(w), ALIKE
+    best, h = np.zeros(len(docs)), np.zeros((len(docs), width + 1))
+    slope = GAP * np.arange(width + 1)
     for i, w in enumerate(item):
-        hit = codes == number[w]
-        diagonal = h[:-1] + np.where(hit, value[i] * degree, MISMATCH)
-        top = np.maximum(h - GAP, 0.0)
-        top[1:] = np.maximum(top[1:], diagonal)
-        h = np.maximum.accumulate(top + slope) - slope
-        best = max(best, float(h.max()))
+        diagonal = h[:, :-1] + np.where(codes == number[w], value[i] * degree, MISMATCH)
+        h = np.maximum(h - GAP, 0.0)
+        h[:, 1:] = np.maximum(h[:, 1:], diagonal)
+        h += slope
+        np.maximum.accumulate(h, axis=1, out=h)
+        h -= slope
+        np.maximum(best, h.max(axis=1), out=best)
     return best
 
 
+def side_by_side(lengths: np.ndarray, most: int = 50_000) -> Iterator[np.ndarray]:
+    """Places of stretches to align together: of similar length, about ``most`` words in all with what fills them up."""
+    order = np.argsort(lengths, kind="stable")
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high + 1 - low) * lengths[order[high]] <= most:
+            high += 1
+        yield order[low:high]
+        low = high
+
+
 def _aligned(least: float):
     """For mapInPandas: the score of each stretch that reaches what its passage asks for."""
 
@@ -221,16 +231,17 @@ def _aligned(least: float):
         known: dict[int, tuple] = {}
         for batch in batches:
             out = []
-            for doc, item, said, passage, blank, common in batch.itertuples(index=False):
+            for item, rows in batch.groupby("item"):
                 if item not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    value = worth(blank, common)
-                    known[item] = (list(passage), value, Spellings(list(passage)), min(least, SHORT * float(value.sum())))
-                words_, value, spellings, need = known[item]
-                score = align(words_, value, list(said), spellings, need)
-                if score >= need:
-                    out.append((doc, item, score))
+                    passage, value = list(rows["words"].iloc[0]), worth(rows["blank"].iloc[0], rows["common"].iloc[0])
+                    known[item] = (passage, value, Spellings(passage), min(least, SHORT * float(value.sum())))
+                passage, value, spellings, need = known[item]
+                said, docs = [list(x) for x in rows["said"]], rows["doc"].to_numpy()
+                for at in side_by_side(np.array([len(x) for x in said])):
+                    score = align(passage, value, [said[k] for k in at], spellings)
+                    out += [(docs[k], item, x) for k, x in zip(at, score) if x >= need]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score"])
 
     return run

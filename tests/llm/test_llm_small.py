@@ -307,13 +307,22 @@ def test_leaks_fully_partly_altered_but_no_shared_lines(spark):
 def test_alignment_equals_the_plain_recurrence():
     rng = random.Random(2)
     for _ in range(20):
-        a, b = ([rng.choice(["one", "two", "six", "ten", "red"]) for _ in range(n)] for n in (12, 17))
+        a, *others = ([rng.choice(["one", "two", "six", "ten", "red"]) for _ in range(n)] for n in (12, 17, 5, 30, 0))
         value = np.array([rng.choice([0.0, 1.0, 2.0]) for _ in a])
-        h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                h[i + 1][j + 1] = max(0, h[i][j] + (value[i] if x == y else leakage.MISMATCH), h[i][j + 1] - leakage.GAP, h[i + 1][j] - leakage.GAP)
-        assert leakage.align(a, value, b) == pytest.approx(max(map(max, h)))
+        want = []
+        for b in others:
+            h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    h[i + 1][j + 1] = max(0, h[i][j] + (value[i] if x == y else leakage.MISMATCH), h[i][j + 1] - leakage.GAP, h[i + 1][j] - leakage.GAP)
+            want.append(max(map(max, h)))
+        assert leakage.align(a, value, others) == pytest.approx(want)
+
+
+def test_stretches_side_by_side_are_all_there():
+    lengths = np.array([5, 900, 3, 0, 40, 41, 39, 60000])
+    parts = list(leakage.side_by_side(lengths, 100))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(8)) and all(len(p) == 1 or len(p) * lengths[p].max() <= 100 for p in parts)
 
 
 # --- p9 ---------------------------------------------------------------------------------------------
