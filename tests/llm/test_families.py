@@ -69,6 +69,33 @@ def test_a_family_of_two_thousand_keeps_its_links(spark):
     assert n > 1_000_000 and share >= 0.998, (n, share)
 
 
+def test_no_link_is_lost_however_few_shingles_are_shared(spark):
+    """A fixed number of keys or a radius of fingerprints loses some of those close to the threshold."""
+    texts = [t for k in range(12) for t in family(500 + k, 40, 0.05 + 0.015 * k, 50 + 40 * (k % 3))]
+    similarity = jaccard(texts)
+    a, b = np.nonzero(np.triu(similarity >= neardup.SIMILARITY - 1e-6, 1))
+    assert (similarity[a, b] < 0.35).sum() > 300
+    assert links(spark, texts) == set(zip(a.tolist(), b.tolist()))
+
+
+def test_shingles_of_many_texts_meet_in_parts(spark):
+    rows = [(i, t, None) for i, t in enumerate(family(9, 60, 0.04))]
+    bodies = neardup.bodies_of(spark.createDataFrame(rows, TEXT))
+    classes = neardup.classes(bodies)
+    plain, parts = neardup.describe(bodies, classes), neardup.describe(bodies, classes, hot=4)
+    assert parts.where("size(hot) > 0").count() > 0
+    want = {(r["a"], r["b"]) for r in neardup.links(plain).collect()}
+    assert len(want) > 1500 and want == {(r["a"], r["b"]) for r in neardup.links(parts, chunk=7).collect()}
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    texts = family(10, 50, 0.06) + family(11, 20, 0.1)
+    want = links(spark, texts)
+    monkeypatch.setattr(neardup, "ROUND", 100)
+    monkeypatch.setattr(neardup, "VERIFIED", 100)
+    assert len(want) > 1000 and links(spark, texts) == want
+
+
 def test_fingerprints_are_signs_of_sums_of_random_bits():
     rng = np.random.default_rng(2)
     lists = [rng.integers(-(2**62), 2**62, n) for n in (1, 2, 7, 0, 300)]
