@@ -141,6 +141,23 @@ def test_overlap_join_equals_all_dot_products(spark):
     assert got == want and 20 < len(want) < 900
 
 
+def test_overlap_in_rounds_is_the_same(spark, monkeypatch):
+    """Meetings grow with the square of a common term; those of one round are bounded."""
+    rng = random.Random(4)
+    base = [story(i, 40) for i in range(5)]
+    rows = [(i, 1 + i % 2, None, " ".join(edited(rng.choice(base), i, rng.randrange(1, 4))), None, "x") for i in range(60)]
+    datasets = spark.createDataFrame([(1, "a", "train"), (2, "a", "test")], "id long, name string, split string")
+    bodies = overlap.bodies_of(spark.createDataFrame(rows, TEXT), datasets, spark.createDataFrame([], MENTION)).cache()
+    want = {(r["a"], r["b"]) for r in overlap.links(bodies, overlap.classes(bodies)).collect()}
+    asked = []
+    rounds = overlap._rounds
+    monkeypatch.setattr(overlap, "ROUND", 50)
+    monkeypatch.setattr(overlap, "PER_ENTRY", 0)
+    monkeypatch.setattr(overlap, "_rounds", lambda entries: asked.append(rounds(entries)) or asked[-1])
+    got = {(r["a"], r["b"]) for r in overlap.links(bodies, overlap.classes(bodies)).collect()}
+    assert got == want and len(want) > 20 and 1 < asked[0]
+
+
 def test_overlap_of_a_large_edited_group(spark):
     base, formula = story(300, 100), story(301, 30)
     rows = [(i, 1 + i % 2, None, " ".join(edited(base, i, 10)), None, "x") for i in range(150)]  # 10 % of the words
