@@ -65,6 +65,15 @@ def test_near_duplicates_by_body_or_stand_in(spark):
     assert rows[23]["n_links"] == 0
 
 
+def test_short_stand_ins_with_wording_of_their_own_are_linked(spark):
+    short = "Tollomp council rejects bridge tax"  # fewer than eight words
+    rows = [(1, 1, None, None, short, "x"), (2, 1, None, None, short.upper() + ".", "x"), (3, 1, None, " ".join(story(1)), short, "x")]
+    rows += [(4, 1, None, None, "Summary not available.", "x"), (5, 1, None, None, "summary NOT available", "x"), (6, 1, None, None, "See the full text for details.", "x")]
+    rows += [(7, 1, None, None, "See the full text for details.", "x"), (8, 1, None, None, "Other wording altogether", "x")]
+    got = {tuple(r) for r in neardup.all_pairs(*neardup.near_duplicates(spark.createDataFrame(rows, TEXT))).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_buckets_above_the_chunk_lose_nothing(spark):
     base = story(7, 80)
     rows = [(i, 1, None, " ".join(edited(base, i, 2)), None, "x") for i in range(60)]
